@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from keystrata.llm.bpe import count_tokens, decode_documents, encode_documents
 from keystrata.llm.packing import fill_report, pack
+from keystrata.llm.privacy import disclosure, find_candidates, find_personal, redact
 from keystrata.llm.seen import error_rate, seen_before
 from keystrata.sources.scratch import written
 from keystrata.sources.tables import table
@@ -50,7 +51,23 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return fill_report(p7_pack(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_decisions, p4_error_rate, p6_ids, p6_roundtrip, p7_pack, p7_fill)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Places that name or reach a person, by kind."""
+    return find_personal(table(spark, d, "documents"))
+
+
+def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Every text with placeholders in the stead of personal information."""
+    documents = table(spark, d, "documents")
+    return redact(documents, find_personal(documents))
+
+
+def p8_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Terms with the bits by which they disclose a protected entity."""
+    return disclosure(written(find_candidates(table(spark, d, "documents")), "personal"))
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_decisions, p4_error_rate, p6_ids, p6_roundtrip, p7_pack, p7_fill, p8_found, p8_redacted, p8_terms)}
 
 _P4 = """
 WITH known AS (SELECT DISTINCT key FROM row_entry WHERE octet_length(key) > 0),
