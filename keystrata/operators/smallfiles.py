@@ -15,9 +15,12 @@ from pyspark.sql import types as T
 from keystrata.functions.hilbert import hilbert_code, scaled
 from keystrata.functions.paths import clean_segments, extension
 from keystrata.operators.ordering import with_running_total
+from keystrata.sources.scratch import written
 
 DATA_FOLDERS = ("wal", "compacted")
 CODE_BITS = 16
+#: Slots of the items of one code; sets how evenly a code is spread.
+SLOTS = 1024
 
 
 def living_objects(listing: DataFrame) -> DataFrame:
@@ -49,25 +52,25 @@ def assign_targets(items: DataFrame, group: list[str], axes: list[str], size: st
 
     ``axes`` are integer columns scaled per whole input to the curve's grid; ``size`` is a positive
     number, ``target`` the wanted size of the item's group. A file holds a stretch of the curve of about
-    ``target`` bytes, the last item of it may reach over. Items of equal code that alone exceed a file
-    are spread over as many files as they fill. No item is dropped; null axes count as the lowest value.
+    ``target`` bytes, the last item of it may reach over. Items of equal code take slots on the stretch
+    that all of them fill, so a code that exceeds a file is spread evenly over as many files as it
+    fills. No item is dropped; null axes count as the lowest value.
     """
     cols = items.columns
+    items = written(items, "items")  # read three times below: made once
     extent = items.agg(F.struct(*[F.min(a).alias(f"lo_{a}") for a in axes], *[F.max(a).alias(f"hi_{a}") for a in axes]).alias("extent"))
-    grid = items.withColumn("__extent", extent.scalar())
-    coded = grid.withColumn("__code", hilbert_code([scaled(F.col(a), F.col(f"__extent.lo_{a}"), F.col(f"__extent.hi_{a}"), CODE_BITS) for a in axes], CODE_BITS)).select(*cols, "__code")
-    histogram = coded.groupBy(*group, "__code").agg(F.sum(size).alias("__bytes"), F.max(target).alias("__target"))
+    grid = items.withColumn("__ks_extent", extent.scalar())
+    coded = grid.withColumn("__ks_code", hilbert_code([scaled(F.col(a), F.col(f"__ks_extent.lo_{a}"), F.col(f"__ks_extent.hi_{a}"), CODE_BITS) for a in axes], CODE_BITS)).select(*cols, "__ks_code")
+    coded = written(coded.withColumn("__ks_slot", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SLOTS))), "coded")
+    histogram = coded.groupBy(*group, "__ks_code").agg(F.sum(size).alias("__ks_bytes"), F.max(target).alias("__ks_target"))
     shift = max(0, CODE_BITS * len(axes) - 20)
-    placed = with_running_total(histogram, group, "__code", "__bytes", F.shiftright("__code", shift), "__before")
-    first = F.floor(F.col("__before") / F.col("__target"))
-    last = F.greatest(first, F.floor((F.col("__before") + F.col("__bytes") - 1) / F.col("__target")))
-    spread = F.when(F.col("__bytes") > F.col("__target"), last - first + 1).otherwise(1)
-    placed = placed.select(*[F.col(g).alias(f"__g_{i}") for i, g in enumerate(group)], F.col("__code").alias("__c2"), first.alias("__first"), spread.alias("__spread"))
-    on = F.col("__code") == F.col("__c2")
+    placed = with_running_total(histogram, group, "__ks_code", "__ks_bytes", F.shiftright("__ks_code", shift), "__ks_before")
+    placed = placed.select(*[F.col(g).alias(f"__ks_g{i}") for i, g in enumerate(group)], F.col("__ks_code").alias("__ks_c2"), "__ks_before", "__ks_bytes", "__ks_target")
+    on = F.col("__ks_code") == F.col("__ks_c2")
     for i, g in enumerate(group):
-        on = on & F.col(g).eqNullSafe(F.col(f"__g_{i}"))
-    turn = F.pmod(F.monotonically_increasing_id(), F.col("__spread"))
-    return coded.join(placed, on).select(*cols, F.col("__code").alias("curve_code"), (F.col("__first") + turn).alias("target_no"))
+        on = on & F.col(g).eqNullSafe(F.col(f"__ks_g{i}"))
+    position = F.col("__ks_before") + F.floor(F.col("__ks_bytes") * F.col("__ks_slot") / SLOTS)
+    return coded.join(placed, on).select(*cols, F.col("__ks_code").alias("curve_code"), F.floor(position / F.col("__ks_target")).alias("target_no"))
 
 
 def name_number(name: Column) -> Column:

@@ -84,8 +84,9 @@ def p5_consolidated(spark: SparkSession, d: str) -> DataFrame:
     feed = table(spark, d, "row_entry")
     data = feed.columns
     rows = feed.join(small, ["store_id", "wal_id"]).withColumn("__bytes", F.coalesce(F.octet_length("key"), F.lit(0)) + F.coalesce(F.octet_length("value"), F.lit(0)) + 21)
-    rows = rows.withColumn("__prefix", F.conv(F.hex(F.substring("key", 1, 6)), 16, 10).try_cast("bigint"))
-    out = consolidate_rows(rows, ["store_id", "config_id"], ["__prefix", "seq"], "__bytes", "block_size", f"{shared_folder(spark)}/consolidated-{uuid.uuid4().hex}")
+    number = lambda part: F.conv(F.hex(part), 16, 10).try_cast("bigint")
+    rows = rows.withColumn("__prefix", number(F.substring("key", 1, 6))).withColumn("__tail", number(F.substring("key", -6, 6)))
+    out = consolidate_rows(rows, ["store_id", "config_id"], ["__prefix", "__tail", "seq"], "__bytes", "block_size", f"{shared_folder(spark)}/consolidated-{uuid.uuid4().hex}")
     before, after = row_digest(rows, data, ["store_id"]), row_digest(out, data, ["store_id"])
     files = small.groupBy("store_id").agg(F.count("*").alias("objects_before"))
     targets = out.groupBy("store_id", "config_id", "target_no").agg(F.sum("__bytes").alias("b")).groupBy("store_id").agg(F.count("*").alias("objects_after"), F.max("b").alias("largest_bytes"))
