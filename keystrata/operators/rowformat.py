@@ -38,7 +38,7 @@ def common_prefix(a: Column, b: Column) -> Column:
     shorter = F.least(F.octet_length(a), F.octet_length(b))
 
     grow = F.aggregate(F.array(*[F.lit(1 << i) for i in range(15, -1, -1)]), F.lit(0), lambda n, step: F.when((n + step <= shorter) & (F.substring(a, n + 1, step) == F.substring(b, n + 1, step)), n + step).otherwise(n))
-    return F.when(shorter.isNotNull(), grow).cast("bigint")
+    return F.when(a.isNotNull() & b.isNotNull(), grow).cast("bigint")
 
 
 def restore_key(first_key: Column, prefix_bytes: Column, suffix: Column) -> Column:
