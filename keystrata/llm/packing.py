@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 #: Expected items of a block; the only bound on a task's group.
 BLOCK_ITEMS = 4096
+#: Kinds of containers packed in one call; every item is packed once for each.
+MAX_KINDS = 1000
 #: Weights of tokens, item count and attention cost in the score.
 WEIGHTS = (1.0, 0.02, 0.02)
 
@@ -105,7 +107,9 @@ def pack(items: DataFrame, containers: DataFrame, key: str = "doc_id", size: str
 
 def _with_kinds(sized: DataFrame, kinds: DataFrame) -> DataFrame:
     """Every item once per container kind; the kinds are a short list and are kept as an array literal."""
-    rows = [r for r in kinds.orderBy("container_id").toLocalIterator()]
+    rows = kinds.orderBy("container_id").limit(MAX_KINDS + 1).collect()
+    if len(rows) > MAX_KINDS:
+        raise ValueError(f"more than {MAX_KINDS} kinds of containers")
     kind = kinds.schema["container_id"].dataType
     if not rows:
         return sized.limit(0).select(F.lit(None).cast(kind).alias("container_id"), F.lit(None).cast("bigint").alias("capacity_tokens"), "key", "size")

@@ -24,6 +24,7 @@ address before postal address before phone before number before name, then the e
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -127,7 +128,7 @@ def candidates(text: str) -> list[tuple[str, int, int, int, bool, list[str]]]:
     """Places of a text that name or reach a person, or could: (kind, start, end, standing, beside, terms)."""
     out: list[tuple[str, int, int, int, bool, list[str]]] = []
     plain = text.translate(_SAME) if not text.isascii() and _ODD.search(text) else text
-    taken: list[tuple[int, int]] = []
+    taken = _Taken()
     first: set[int] = set()  # where entities that reach a person begin and end
     last: set[int] = set()
 
@@ -140,7 +141,7 @@ def candidates(text: str) -> list[tuple[str, int, int, int, bool, list[str]]]:
                 if "://" in plain[max(line, a - 80) : a].rpartition(" ")[2] and plain[a - 1] not in "=?&":
                     continue  # the user of a connection string
                 out.append(("email", a, b, SURE, True, []))
-                taken.append((a, b))
+                taken.add(a, b)
                 first.add(a)
                 last.add(b)
 
@@ -148,16 +149,17 @@ def candidates(text: str) -> list[tuple[str, int, int, int, bool, list[str]]]:
     if hints or _JOINED_STREET.search(plain):
         for line, end in _lines(re.compile("|".join([*map(re.escape, hints), _JOINED_STREET.pattern])), plain):
             for m in _ADDRESS.finditer(plain, line, end):
-                out.append(("address", *m.span(), SURE, True, []))
-                taken.append(m.span())
+                if not taken.over(*m.span()):
+                    out.append(("address", *m.span(), SURE, True, []))
+                    taken.add(*m.span())
 
     digits = list(_lines(_DIGITS, plain))
     phones: set[int] = set()
     for line, end in digits:
         for m in _PHONE.finditer(plain, line, end):
-            if 8 <= sum(c.isdigit() for c in m.group()) <= 15 and not _inside(taken, *m.span()):
+            if 8 <= sum(c.isdigit() for c in m.group()) <= 15 and not taken.over(*m.span()):
                 out.append(("phone", *m.span(), SURE, True, []))
-                taken.append(m.span())
+                taken.add(*m.span())
                 phones.add(m.end())
                 first.add(m.start())
                 last.add(m.end())
@@ -167,7 +169,7 @@ def candidates(text: str) -> list[tuple[str, int, int, int, bool, list[str]]]:
     for line, end in digits:
         for m in _NUMBER.finditer(plain, line, end):
             a, b = m.span()
-            if _inside(taken, a, b):
+            if taken.over(a, b):
                 continue
             if m.group(1):
                 standing, beside = SURE, True
@@ -178,7 +180,7 @@ def candidates(text: str) -> list[tuple[str, int, int, int, bool, list[str]]]:
             label = in_rows[a].group(1) if a in in_rows else _label(plain, max(line, a - 24), a)
             out.append(("idnum", a, b, standing, beside, [f"i:{label.casefold()}"] if label else []))
             if standing == SURE:
-                taken.append((a, b))
+                taken.add(a, b)
                 first.add(a)
                 last.add(b)
 
@@ -187,22 +189,21 @@ def candidates(text: str) -> list[tuple[str, int, int, int, bool, list[str]]]:
         if m.start(4) in numbers:
             for g in (2, 3):
                 a, b = m.span(g)
-                if _PERSON_FIELD.fullmatch(text, a, b):
+                if _PERSON_FIELD.fullmatch(text, a, b) and not taken.over(a, b):
                     out.append(("name", a, b, SURE, True, [f"n:{p}" for p in _parts(text[a:b].replace("''", "'"))]))
-                    taken.append((a, b))
+                    taken.add(a, b)
     if "name" in text or "Name" in text:
         for m in _FIELD.finditer(text):
             a, b = m.span(1)
-            if _PERSON_FIELD.fullmatch(text, a, b) and not _inside(taken, a, b):
+            if _PERSON_FIELD.fullmatch(text, a, b) and not taken.over(a, b):
                 out.append(("name", a, b, CUED, True, [f"n:{p}" for p in _parts(text[a:b])]))
-                taken.append((a, b))
-    taken.sort()
+                taken.add(a, b)
     for line, end in _lines(_CAPITAL, text) if "・" not in text else [(0, len(text))]:
         at = line
         while m := _NAME.search(text, at, end):
             a, b = m.span()
             at = b
-            clash = _inside(taken, a, b)
+            clash = taken.over(a, b)
             if clash:
                 at = max(a + 1, clash[1] if clash[0] <= a else a + 1)
                 continue
@@ -249,11 +250,22 @@ def _after_first(text: str, a: int, b: int) -> int:
     return b if space < 0 else space + 1
 
 
-def _inside(taken: list[tuple[int, int]], a: int, b: int) -> tuple[int, int] | None:
-    for s, e in taken:
-        if s < b and a < e:
-            return s, e
-    return None
+class _Taken:
+    """Disjoint stretches of a text that are taken, kept in order."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def add(self, a: int, b: int) -> None:
+        i = bisect_left(self.starts, a)
+        self.starts.insert(i, a)
+        self.ends.insert(i, b)
+
+    def over(self, a: int, b: int) -> tuple[int, int] | None:
+        """A taken stretch that shares a character with ``[a, b)``."""
+        i = bisect_left(self.starts, b) - 1
+        return (self.starts[i], self.ends[i]) if i >= 0 and self.ends[i] > a else None
 
 
 def find_candidates(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
