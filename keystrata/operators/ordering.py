@@ -47,21 +47,36 @@ def with_next_event(left: DataFrame, left_time: str, right: DataFrame, right_tim
     ``bucket`` is a function from a time column to a bucket number that does not decrease with time.
     Ties among right rows go to the smallest payload. Left rows without a later right row get null.
     """
+    return _as_of(left, left_time, right, right_time, keys, payload, bucket, out, forward=True)
+
+
+def with_last_event(left: DataFrame, left_time: str, right: DataFrame, right_time: str, keys: list[str], payload: list[str], bucket, out: str) -> DataFrame:
+    """Backward as-of join: add struct ``out`` of the last ``right`` row with ``right_time <= left_time`` per key.
+
+    As ``with_next_event`` with the other direction; ties among right rows go to the greatest payload.
+    """
+    return _as_of(left, left_time, right, right_time, keys, payload, bucket, out, forward=False)
+
+
+def _as_of(left: DataFrame, left_time: str, right: DataFrame, right_time: str, keys: list[str], payload: list[str], bucket, out: str, forward: bool) -> DataFrame:
     cols = left.columns
     item = F.struct(*[F.col(c) for c in payload])
     lrow = left.select(*keys, F.col(left_time).alias("__t"), F.lit(0).alias("__right"), F.lit(None).cast(right.select(item.alias("x")).schema["x"].dataType).alias(_C), F.struct(*[F.col(c) for c in cols]).alias("__row"))
     rrow = right.select(*keys, F.col(right_time).alias("__t"), F.lit(1).alias("__right"), item.alias(_C), F.lit(None).cast(lrow.schema["__row"].dataType).alias("__row"))
     both = lrow.unionByName(rrow).withColumn(_B, bucket(F.col("__t")))
-    w = Window.partitionBy(*keys, _B).orderBy(F.col("__t").desc(), F.col("__right").desc(), F.col(_C).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    way = (lambda c: c.desc()) if forward else (lambda c: c.asc())
+    # walking towards the left row, right rows of its own time come before it and the wanted one comes last
+    w = Window.partitionBy(*keys, _B).orderBy(way(F.col("__t")), F.col("__right").desc(), way(F.col(_C))).rowsBetween(Window.unboundedPreceding, 0)
     inner = both.withColumn(out, F.last(_C, ignorenulls=True).over(w)).filter("__right = 0")
-    firsts = both.groupBy(*keys, _B).agg(F.min(F.when(F.col("__right") == 1, F.struct("__t", _C))).alias("__f"))
-    later = Window.partitionBy(*keys).orderBy(F.col(_B).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    firsts = firsts.withColumn("__f", F.last("__f", ignorenulls=True).over(later))
-    firsts = firsts.select(*[F.col(c).alias(f"__k_{i}") for i, c in enumerate(keys)], F.col(_B).alias("__b2"), F.col(f"__f.{_C}").alias("__later"))
+    edge = (F.min if forward else F.max)(F.when(F.col("__right") == 1, F.struct("__t", _C)))
+    edges = both.groupBy(*keys, _B).agg(edge.alias("__f"))
+    beyond = Window.partitionBy(*keys).orderBy(way(F.col(_B))).rowsBetween(Window.unboundedPreceding, -1)
+    edges = edges.withColumn("__f", F.last("__f", ignorenulls=True).over(beyond))
+    edges = edges.select(*[F.col(c).alias(f"__k_{i}") for i, c in enumerate(keys)], F.col(_B).alias("__b2"), F.col(f"__f.{_C}").alias("__carried"))
     on = F.col(_B).eqNullSafe(F.col("__b2"))
     for i, c in enumerate(keys):
         on = on & F.col(c).eqNullSafe(F.col(f"__k_{i}"))
-    return inner.join(firsts, on, "left").select("__row.*", F.coalesce(F.col(out), F.col("__later")).alias(out))
+    return inner.join(edges, on, "left").select("__row.*", F.coalesce(F.col(out), F.col("__carried")).alias(out))
 
 
 def with_running_total(df: DataFrame, keys: list[str], order: str, size: str, bucket: Column, out: str) -> DataFrame:

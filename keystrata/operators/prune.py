@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from keystrata.functions.hashes import filter_bits, fnv1_halves, optimal_probes, probe_bits
+from keystrata.operators.ordering import with_last_event
 
 
 def covers(first_key: Column, key: Column, last_key: Column | None = None) -> Column:
@@ -15,20 +15,21 @@ def covers(first_key: Column, key: Column, last_key: Column | None = None) -> Co
     return low if last_key is None else low & (key <= last_key)
 
 
-def table_for_key(keys: DataFrame, tables: DataFrame, group: list[str], table: str, clamp: bool = False) -> DataFrame:
+def table_for_key(keys: DataFrame, tables: DataFrame, group: list[str], table: str, clamp: bool = False, bucket=lambda key: F.substring(key, 1, 4)) -> DataFrame:
     """As-of lookup: per group the last table whose first key is not after the key.
 
-    ``keys``: ``key`` and the ``group`` columns; ``tables``: ``group``, ``first_key`` and ``table``. Keys
-    and first keys are sorted together once, no pair of them is formed. Below the first table the answer
-    is null, or with ``clamp`` the first table. Equal keys give one row each.
+    ``keys``: ``key`` and the ``group`` columns; ``tables``: ``group``, ``first_key`` and ``table``; tables
+    without a first key hold nothing. Keys and first keys are sorted together once, no pair of them is
+    formed; ``bucket`` cuts the keys of a group into stretches (a prefix of the key, so it keeps their
+    order) that are solved on their own. Below the first table the answer is null, or with ``clamp`` the
+    first table. Equal keys give one row each.
     """
-    marks = tables.select(*group, F.col("first_key").alias("key"), F.lit(0).alias("__ask"), F.col(table).alias("__table"))
-    asks = keys.select(*group, "key", F.lit(1).alias("__ask"), F.lit(None).cast(tables.schema[table].dataType).alias("__table"))
-    order = Window.partitionBy(*group).orderBy("key", "__ask", "__table")
-    found = F.last("__table", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    if clamp:
-        found = F.coalesce(found, F.first("__table", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)))
-    return marks.unionByName(asks).withColumn(table, found).filter("__ask = 1").select(*group, "key", table)
+    bounds = tables.filter("first_key is not null").select(*group, "first_key", table)
+    found = with_last_event(keys.select(*group, "key"), "key", bounds, "first_key", group, [table], bucket, "__found").select(*group, "key", F.col(f"__found.{table}").alias(table))
+    if not clamp:
+        return found
+    least = bounds.groupBy(*group).agg(F.min_by(table, "first_key").alias("__first"))
+    return found.join(least, group, "left").select(*group, "key", F.coalesce(F.col(table), F.col("__first")).alias(table))
 
 
 def build_filters(rows: DataFrame, group: list[str], bits_per_key: int = 10, min_keys: int = 0) -> DataFrame:

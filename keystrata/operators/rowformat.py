@@ -9,11 +9,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keystrata.functions.codecs import big_endian, checksum_holds, compressed, decompressed, number_at, signed_at, with_checksum
+
 FLAG_TOMBSTONE, FLAG_EXPIRES, FLAG_CREATED = 1, 2, 4
 #: Bytes of a stored row besides key, times and value: two lengths, sequence number, flags.
 ROW_BYTES = 2 + 2 + 8 + 1
 TIME_BYTES, LENGTH_BYTES, OFFSET_BYTES, COUNT_BYTES, CHECKSUM_BYTES = 8, 4, 2, 2, 4
-CODECS = {"none": "none", "snappy": "snappy", "zlib": "gzip", "lz4": "lz4raw", "zstd": "zstd"}
+#: Codec names and the Parquet codecs that stand for them.
+PARQUET_CODECS = {"none": "none", "snappy": "snappy", "zlib": "gzip", "lz4": "lz4raw", "zstd": "zstd"}
 
 
 def flags(tombstone: Column, expire_at: Column, created_at: Column) -> Column:
@@ -58,41 +61,151 @@ def ordered_keys(df: DataFrame, index: str, suffix: bytes, low: int, high: int,
     return df.withColumn("key", F.concat(F.unhex(reduce(lambda x, y: F.concat(x, y), digits)), F.lit(suffix)))
 
 
-def cut_blocks(rows: DataFrame, group: list[str], block_size: int) -> DataFrame:
-    """Blocks of every table: ``group, block_no, first_key, num_rows, encoded_bytes``.
+def place_in_blocks(rows: DataFrame, group: list[str], block_size: int) -> DataFrame:
+    """Add ``block_no``, ``first_key`` of the block and ``prefix_bytes`` shared with it to every row.
 
-    Rows go to a block in key order until the next one would take it over ``block_size``; a block holds
-    at least one row. Keys are stored without the prefix they share with the block's first key. The
-    fold is sequential within a table and parallel over tables; a task streams its tables.
+    Rows (``key, kind, value`` and others) go to a block in key order until the next one would take it
+    over ``block_size``; a block holds at least one row. The fold is sequential within a table and
+    parallel over tables; a task streams its tables.
     """
-    sized = rows.select(*group, "key", F.col("kind").cast("int").alias("kind"), F.coalesce(F.octet_length("value"), F.lit(0)).alias("__v"))
-    placed = sized.repartition(*group).sortWithinPartitions(*group, "key")
-    columns = [*group, "block_no", "first_key", "num_rows", "encoded_bytes"]
-    schema = ", ".join(f"`{g}` {rows.schema[g].dataType.simpleString()}" for g in group) + ", block_no bigint, first_key binary, num_rows bigint, encoded_bytes bigint"
+    columns = rows.columns
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", block_no bigint, first_key binary, prefix_bytes bigint"
+    placed = rows.repartition(*group).sortWithinPartitions(*group, "key")
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of, number, first, count, size, out = None, 0, b"", 0, 0, []
+        of, number, first, count, size = None, 0, b"", 0, 0
         for batch in batches:
-            for now, key, kind, value in zip(zip(*[batch[g] for g in group]), batch["key"], batch["kind"], batch["__v"]):
+            numbers, firsts, prefixes = [], [], []
+            for now, key, kind, value in zip(zip(*[batch[g] for g in group]), batch["key"], batch["kind"], batch["value"]):
+                if now != of:
+                    of, number, count = now, 0, 0
                 shared = 0
-                if now == of and count:
+                if count:
                     limit = min(len(first), len(key))
                     while shared < limit and first[shared] == key[shared]:
                         shared += 1
-                bytes_ = ROW_BYTES + len(key) - shared + (0 if kind == 1 else LENGTH_BYTES + value)
-                full = count and COUNT_BYTES + (count + 1) * OFFSET_BYTES + size + bytes_ > block_size
-                if now != of or full:
-                    if count:
-                        out.append((*of, number, first, count, COUNT_BYTES + count * OFFSET_BYTES + size + CHECKSUM_BYTES))
-                    number = number + 1 if now == of else 0
-                    bytes_ += shared
-                    of, first, count, size = now, key, 0, 0
-                count, size = count + 1, size + bytes_
-            if len(out) > 10000:
-                yield pd.DataFrame(out, columns=columns)
-                out = []
-        if count:
-            out.append((*of, number, first, count, COUNT_BYTES + count * OFFSET_BYTES + size + CHECKSUM_BYTES))
-        yield pd.DataFrame(out, columns=columns)
+                whole = ROW_BYTES + len(key) + (0 if kind == 1 else LENGTH_BYTES + (len(value) if value is not None else 0))
+                if count and COUNT_BYTES + (count + 1) * OFFSET_BYTES + size + whole - shared > block_size:
+                    number, count = number + 1, 0
+                if not count:
+                    first, size, shared = key, 0, 0
+                count, size = count + 1, size + whole - shared
+                numbers.append(number)
+                firsts.append(first)
+                prefixes.append(shared)
+            yield batch[columns].assign(block_no=numbers, first_key=firsts, prefix_bytes=prefixes)
 
     return placed.mapInPandas(fold, schema)
+
+
+def cut_blocks(rows: DataFrame, group: list[str], block_size: int) -> DataFrame:
+    """Blocks of every table: ``group, block_no, first_key, num_rows, encoded_bytes``."""
+    placed = place_in_blocks(rows.select(*group, "key", "kind", "value"), group, block_size)
+    dead = F.col("kind") == 1
+    size = row_size(F.octet_length("key") - F.col("prefix_bytes"), F.coalesce(F.octet_length("value"), F.lit(0)), dead, F.lit(None).cast("timestamp"), F.lit(None).cast("timestamp"))
+    return placed.groupBy(*group, "block_no").agg(F.min("first_key").alias("first_key"), F.count("*").alias("num_rows"), block_estimate(size).alias("encoded_bytes"))
+
+
+def encoded_row(prefix_bytes: Column, suffix: Column, seq: Column, tombstone: Column, expire_millis: Column, created_millis: Column, value: Column) -> Column:
+    """A row in its stored form: prefix and suffix length, suffix, sequence number, flags, times, value."""
+    flag = flags(tombstone, expire_millis, created_millis)
+    times = [F.coalesce(big_endian(t, 8), F.lit(b"")) for t in (expire_millis, created_millis)]
+    body = F.coalesce(value, F.lit(b""))
+    tail = F.when(tombstone, F.lit(b"")).otherwise(F.concat(big_endian(F.octet_length(body), 4), body))
+    return F.concat(big_endian(prefix_bytes, 2), big_endian(F.octet_length(suffix), 2), suffix, big_endian(seq, 8), big_endian(flag, 1), *times, tail)
+
+
+def decoded_row(data: Column, first_key: Column) -> Column:
+    """Struct ``key, seq, kind, expire_millis, created_millis, value, prefix_bytes`` of a stored row."""
+    zero = F.lit(0)
+    prefix, suffix = number_at(data, zero, 2), number_at(data, zero + 2, 2)
+    after = suffix + 4
+    flag = number_at(data, after + 8, 1)
+    has = lambda bit: F.floor(flag / bit) % 2 == 1
+    expire_at = after + 9
+    created_at = expire_at + F.when(has(FLAG_EXPIRES), 8).otherwise(0)
+    value_at = created_at + F.when(has(FLAG_CREATED), 8).otherwise(0)
+    dead = has(FLAG_TOMBSTONE)
+    value = F.substring(data, (value_at + 5).cast("int"), number_at(data, value_at, 4).cast("int"))
+    return F.struct(
+        restore_key(first_key, prefix, F.substring(data, F.lit(5), suffix.cast("int"))).alias("key"),
+        signed_at(data, after).alias("seq"),
+        F.when(dead, 1).otherwise(0).cast("tinyint").alias("kind"),
+        F.when(has(FLAG_EXPIRES), signed_at(data, expire_at)).alias("expire_millis"),
+        F.when(has(FLAG_CREATED), signed_at(data, created_at)).alias("created_millis"),
+        F.when(~dead, value).alias("value"),
+        prefix.alias("prefix_bytes"),
+    )
+
+
+def encode_blocks(placed: DataFrame, group: list[str], codec: str = "none") -> DataFrame:
+    """Stored blocks: ``group, block_no, first_key, block`` (rows, offsets, count; compressed; checksum).
+
+    ``placed`` comes from ``place_in_blocks`` with ``seq`` and optionally ``expire_millis`` and
+    ``created_millis``. Only the rows of one block, which its size bounds, meet in a list.
+    """
+    none = F.lit(None).cast("bigint")
+    time = lambda c: F.col(c) if c in placed.columns else none
+    row = encoded_row(F.col("prefix_bytes"), F.substring(F.col("key"), (F.col("prefix_bytes") + 1).cast("int"), F.lit(1 << 20)), F.col("seq"), F.col("kind") == 1, time("expire_millis"), time("created_millis"), F.col("value"))
+    blocks = placed.select(*group, "block_no", "first_key", F.struct("key", row.alias("row")).alias("r")).groupBy(*group, "block_no").agg(F.min("first_key").alias("first_key"), F.array_sort(F.collect_list("r")).alias("rows"))
+    rows = F.transform("rows", lambda r: r["row"])
+    start = F.struct(F.lit(b"").alias("data"), F.lit(b"").alias("offsets"))
+    folded = F.aggregate(rows, start, lambda acc, r: F.struct(F.concat(acc["data"], r).alias("data"), F.concat(acc["offsets"], big_endian(F.octet_length(acc["data"]), 2)).alias("offsets")))
+    plain = F.concat(folded["data"], folded["offsets"], big_endian(F.size("rows"), 2))
+    return blocks.select(*group, "block_no", "first_key", with_checksum(plain if codec == "none" else compressed(plain, F.lit(codec))).alias("block"))
+
+
+def block_problem(block: Column, plain: Column) -> Column:
+    """What is wrong with a stored block, null if nothing; ``plain`` is its body uncompressed."""
+    size = F.octet_length(plain)
+    count = number_at(plain, size - 2, 2)
+    start = size - 2 - count * 2
+    offsets = F.transform(F.when(count > 0, F.sequence(F.lit(0).cast("bigint"), count - 1)).otherwise(F.array().cast("array<bigint>")), lambda i: number_at(plain, start + i * 2, 2))
+    return (
+        F.when(F.octet_length(block) < 6, "block is too small")
+        .when(~checksum_holds(block), "checksum mismatch")
+        .when(size < 2, "uncompressed block is too small")
+        .when(start <= 0, "invalid index offset")
+        .when(count == 0, "no offsets")
+        .when(F.exists(offsets, lambda o: o > start), "offset exceeds the rows")
+    )
+
+
+def decode_blocks(blocks: DataFrame, group: list[str], codec: str = "none") -> tuple[DataFrame, DataFrame]:
+    """``(rows, warnings)`` of stored blocks: rows of sound blocks, and one warning per corrupt block.
+
+    The first key is that of the first row stored whole. A block that fails a test gives no rows and
+    stands in ``warnings`` with what is wrong; what to do with it is the caller's choice.
+    """
+    body = F.when(F.octet_length("block") >= 4, F.substring(F.col("block"), F.lit(1), F.octet_length("block") - 4))
+    sound = checksum_holds(F.col("block"))
+    plain = body if codec == "none" else decompressed(F.when(sound, body), F.lit(codec))
+    opened = blocks.withColumn("__plain", plain)
+    opened = opened.withColumn("warning", block_problem(F.col("block"), F.col("__plain")))
+    warnings = opened.filter("warning is not null").select(*group, "block_no", "warning").distinct()
+    size = F.octet_length("__plain")
+    count = number_at(F.col("__plain"), size - 2, 2)
+    start = size - 2 - count * 2
+    at = lambda i: number_at(F.col("__plain"), start + i * 2, 2)
+    slices = F.transform(F.sequence(F.lit(0).cast("bigint"), count - 1), lambda i: F.substring(F.col("__plain"), (at(i) + 1).cast("int"), (F.when(i + 1 < count, at(i + 1)).otherwise(start) - at(i)).cast("int")))
+    good = opened.filter("warning is null").select(*group, "block_no", slices.alias("slices"))
+    whole = F.filter("slices", lambda s: number_at(s, F.lit(0), 2) == 0)
+    first = F.substring(whole[0], F.lit(5), number_at(whole[0], F.lit(2), 2).cast("int"))
+    rows = good.select(*group, "block_no", first.alias("first_key"), F.explode("slices").alias("s")).select(*group, "block_no", decoded_row(F.col("s"), F.col("first_key")).alias("r"))
+    return rows.select(*group, "block_no", "r.*"), warnings
+
+
+def merged_warnings(*parts: DataFrame) -> DataFrame:
+    """Warnings of several reads, each once."""
+    return reduce(DataFrame.unionByName, parts).distinct()
+
+
+def encoded_filter(num_probes: Column, data: Column) -> Column:
+    """A filter in its stored form: number of probes, bits, checksum."""
+    return with_checksum(F.concat(big_endian(num_probes, 2), data))
+
+
+def decoded_filter(stored: Column) -> Column:
+    """Struct ``num_probes, data`` of a stored filter; null if the checksum fails."""
+    size = F.octet_length(stored)
+    return F.when(checksum_holds(stored), F.struct(number_at(stored, F.lit(0), 2).alias("num_probes"), F.substring(stored, F.lit(3), size - 6).alias("data")))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from keystrata.functions import codecs
 from keystrata.functions.hashes import bit_is_set, fnv1_halves, fnv1_hex, probe_bits, probe_bits_n
 from keystrata.functions.paths import clean_path, clean_segments, extension
 from keystrata.operators import entries, layers, merge, prune, read, rowformat
@@ -325,7 +326,7 @@ def _lookup(spark: SparkSession, d: str, clamp: bool) -> DataFrame:
     # every run is asked for every wanted key: the run ids are put on each key as a list
     ids = tables.agg(F.collect_set("unit")).scalar()
     wanted = table(spark, d, "customer").select(user_key(F.col("c_custkey")).alias("key")).distinct().withColumn("ids", ids).select("key", F.explode("ids").alias("unit"))
-    return prune.table_for_key(wanted, tables, ["unit"], "table_no", clamp).select(F.col("unit").alias("run_id"), text("key"), "table_no")
+    return prune.table_for_key(wanted, tables, ["unit"], "table_no", clamp, lambda key: F.substring(key, 1, 19)).select(F.col("unit").alias("run_id"), text("key"), "table_no")
 
 
 _FNV = "list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(range(1, strlen({k}) + 1), lambda i: ascii(substr({k}, i, 1))::UHUGEINT)), lambda a, x: xor((a * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT, x))"
@@ -422,6 +423,39 @@ def block_cut(spark: SparkSession, d: str) -> DataFrame:
     return rowformat.cut_blocks(stored, ["layer", "unit"], 512).select("layer", "unit", "block_no", text("first_key"), "num_rows", "encoded_bytes")
 
 
+@query(LOG_SQL + "SELECT layer, unit, k AS key, CAST(kind AS BIGINT) AS kind, v AS value, seq, 0 AS problems FROM stored")
+def block_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Stored tables encoded into blocks with checksums, decoded again; with the number of corrupt blocks."""
+    stored = layers.flush(placed_log(spark, d).filter(F.col("layer") <= layers.LEVEL0), ["layer", "unit"])
+    blocks = rowformat.encode_blocks(rowformat.place_in_blocks(stored, ["layer", "unit"], 512), ["layer", "unit"], "zstd")
+    rows, warnings = rowformat.decode_blocks(blocks, ["layer", "unit"], "zstd")
+    problems = warnings.agg(F.count("*").cast("int")).scalar()
+    return rows.select("layer", "unit", text("key"), long("kind"), text("value"), "seq", problems.alias("problems"))
+
+
+@query("SELECT doc_id, c.codec, text IS NOT NULL AS present, true AS \"equal\" FROM documents, (SELECT unnest(['none', 'snappy', 'zlib', 'lz4', 'zstd']) AS codec) c")
+def codec_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Every text through every codec and back."""
+    data = F.col("text").cast("binary")
+    each = table(spark, d, "documents").select("doc_id", data.alias("data"), F.explode(F.array(*map(F.lit, codecs.CODECS))).alias("codec"))
+    back = each.withColumn("back", codecs.decompressed(codecs.compressed(F.col("data"), F.col("codec")), F.col("codec")))
+    return back.select("doc_id", "codec", F.col("data").isNotNull().alias("present"), F.col("data").eqNullSafe(F.col("back")).alias("equal"))
+
+
+@query("SELECT sst_id, num_probes, octet_length(data) AS bytes, true AS \"equal\" FROM sst_filter WHERE data IS NOT NULL")
+def filter_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Stored form of every filter, read back under its checksum."""
+    f = table(spark, d, "sst_filter").filter("data is not null")
+    back = f.withColumn("back", rowformat.decoded_filter(rowformat.encoded_filter(F.col("num_probes"), F.col("data"))))
+    return back.select("sst_id", "num_probes", F.octet_length("data").cast("bigint").alias("bytes"), (F.col("back.num_probes").eqNullSafe(F.col("num_probes")) & F.col("back.data").eqNullSafe(F.col("data"))).alias("equal"))
+
+
+@query("SELECT DISTINCT sst_id, CAST(list_sum(list_transform(range(1, 11), lambda i: (position(substr(sst_id, i, 1) IN '0123456789ABCDEFGHJKMNPQRSTVWXYZ') - 1) * CAST(32 AS BIGINT) ** (10 - i))) AS BIGINT) AS millis FROM sst_filter")
+def sortable_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Creation time in the id of every filter's table."""
+    return table(spark, d, "sst_filter").select("sst_id", codecs.id_millis(F.col("sst_id")).alias("millis")).distinct()
+
+
 @query()
 def checksum(spark: SparkSession, d: str) -> DataFrame:
     """CRC32 of every document's bytes."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 import uuid
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import replace
 from functools import reduce
 
@@ -32,6 +33,7 @@ class KeyedTable:
         self.manifests = ManifestStore(spark, self.root)
         self.held = FencedManifest(self.manifests, "writer")
         self._buffer: list[DataFrame] = []
+        self._pool: ThreadPoolExecutor | None = None
 
     # writing
 
@@ -53,6 +55,12 @@ class KeyedTable:
         self.held.update(lambda m: replace(m, next_wal_id=m.next_wal_id + (not empty), batches=marks(m)))
         return None if empty else wal_id
 
+    def write_async(self, changes: DataFrame) -> Future:
+        """``write`` without waiting: the result is done once the batch is durable. Batches keep their order."""
+        if self._pool is None:
+            self._pool = ThreadPoolExecutor(1)
+        return self._pool.submit(self.write, changes)
+
     def buffer(self, changes: DataFrame) -> None:
         """Keep a batch for the next ``flush_log``; only uncommitted reads see it."""
         self._buffer.append(changes.select("key", F.col("kind").cast("tinyint").alias("kind"), "value", F.col("seq").cast("bigint").alias("seq")))
@@ -159,7 +167,10 @@ class KeyedTable:
         return describe(self.spark, self.held.refresh())
 
     def close(self) -> None:
-        """Make the buffer durable; memory stays in the log and is recovered on opening."""
+        """Wait for pending batches and make the buffer durable; memory stays in the log and is recovered on opening."""
+        if self._pool is not None:
+            self._pool.shutdown(wait=True)
+            self._pool = None
         self.flush_log()
 
     # stored tables

@@ -2,7 +2,7 @@ import random
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
-from keystrata.operators.ordering import with_next_event, with_previous, with_running_total
+from keystrata.operators.ordering import with_last_event, with_next_event, with_previous, with_running_total
 from pyspark.sql import functions as F
 
 fast = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -40,6 +40,17 @@ def test_next_event_crosses_buckets(spark, left, right):
         assert (r.n and r.n.u) == (min(later) if later else None)
 
 
+@fast
+@given(left=rows, right=rows)
+def test_last_event_crosses_buckets(spark, left, right):
+    a, b = spark.createDataFrame(left, "k int, t int"), spark.createDataFrame(right, "k int, u int")
+    out = with_last_event(a, "t", b, "u", ["k"], ["u"], lambda c: F.floor(c / 6), "n").collect()
+    assert len(out) == len(left)
+    for r in out:
+        earlier = [u for k, u in right if k == r.k and u <= r.t]
+        assert (r.n and r.n.u) == (max(earlier) if earlier else None)
+
+
 def test_hot_key_is_cut_into_buckets(spark):
     rng = random.Random(2)
     data = [(0, t) for t in rng.sample(range(100000), 3000)] + [(1, 5)]

@@ -146,6 +146,53 @@ def test_prefixes_and_blocks(spark):
     assert [b.block_no for b in sorted(blocks, key=lambda b: b.first_key)] == list(range(len(blocks)))
 
 
+def test_blocks_and_rows_round_trip_with_times(spark):
+    rows = [(1, f"key{i:03d}".encode(), i % 4 == 0, None if i % 4 == 0 else b"v" * (i % 7), i, None if i % 3 else i - 50, i * 1000 if i % 2 else None) for i in range(1, 90)]
+    df = spark.createDataFrame([(t, k, int(dead), v, s, e, c) for t, k, dead, v, s, e, c in rows], "t int, key binary, kind int, value binary, seq bigint, expire_millis bigint, created_millis bigint")
+    for codec in ("none", "lz4"):
+        blocks = rowformat.encode_blocks(rowformat.place_in_blocks(df, ["t"], 150), ["t"], codec)
+        out, warnings = rowformat.decode_blocks(blocks, ["t"], codec)
+        assert warnings.count() == 0
+        got = sorted((bytes(r.key), bool(r.kind), None if r.value is None else bytes(r.value), r.seq, r.expire_millis, r.created_millis) for r in out.collect())
+        assert got == sorted(r[1:] for r in rows)
+
+
+def test_corrupt_blocks_are_reported_and_give_no_rows(spark):
+    df = log(spark, [(b"key1", 0, b"value1", 1, 1), (b"key2", 0, b"value2", 2, 1)]).withColumn("t", F.lit(1))
+    good = bytes(rowformat.encode_blocks(rowformat.place_in_blocks(df, ["t"], 4096), ["t"]).first().block)
+    import zlib
+
+    sealed = lambda body: body + zlib.crc32(body).to_bytes(4, "big")
+    cases = {
+        "block is too small": good[:5],
+        "checksum mismatch": bytes([good[0] ^ 1]) + good[1:],
+        "invalid index offset": sealed(b"\x00\x09\x00\x09"),
+        "no offsets": sealed(good[:-10] + b"\x00\x00"),
+        "offset exceeds the rows": sealed(good[:-10] + b"\xff\xff" + b"\x00\x01"),
+    }
+    blocks = spark.createDataFrame([(1, i, b) for i, b in enumerate([good, *cases.values()])], "t int, block_no bigint, block binary")
+    rows, warnings = rowformat.decode_blocks(blocks, ["t"])
+    assert [r.warning for r in warnings.orderBy("block_no").collect()] == list(cases)
+    assert sorted(bytes(r.key) for r in rows.collect()) == [b"key1", b"key2"]
+    assert rowformat.merged_warnings(warnings, warnings).count() == len(cases)
+
+
+def test_codecs(spark):
+    from keystrata.functions.codecs import CODECS, UnknownCodec, compress_bytes, decompress_bytes, id_halves, id_millis
+
+    for codec in CODECS:
+        for data in (b"", b"a", b"ab" * 100000):
+            assert decompress_bytes(compress_bytes(data, codec), codec) == data
+    with pytest.raises(UnknownCodec):
+        compress_bytes(b"a", "best")
+    with pytest.raises(Exception):
+        decompress_bytes(b"junk junk junk", "zstd")
+    one = spark.createDataFrame([("00000000010000000000000001",), ("7ZZZZZZZZZZZZZZZZZZZZZZZZZ",), (None,)], "i string")
+    out = one.select(id_millis(F.col("i")).alias("m"), id_halves(F.col("i")).alias("h")).collect()
+    assert out[0].m == 1 and out[0].h.high == "0000000000010000" and out[0].h.low == "0000000000000001"
+    assert out[1].m == 2**48 - 1 and out[1].h.high == out[1].h.low == "F" * 16 and out[2].m is None
+
+
 # store
 
 
@@ -228,6 +275,14 @@ def test_stale_writer_is_fenced_and_versions_stay_readable(spark, tmp_path):
     assert new.get(b"k") == b"3"
 
 
+def test_write_async_is_done_once_durable(spark, tmp_path):
+    table = KeyedTable(spark, f"file://{tmp_path}/t")
+    futures = [table.write_async(changes(spark, [(b"k", 0, b"%d" % i, i)])) for i in range(3)]
+    assert [f.result() for f in futures] == [1, 2, 3]
+    assert table.get(b"k") == b"2"
+    table.close()
+
+
 def test_stream_writes_each_batch_once(spark, tmp_path):
     source, root = f"file://{tmp_path}/in", f"file://{tmp_path}/t"
     table = KeyedTable(spark, root)
