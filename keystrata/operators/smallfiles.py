@@ -8,6 +8,8 @@ Source and destination are compared by row digests before a result counts.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +23,8 @@ DATA_FOLDERS = ("wal", "compacted")
 CODE_BITS = 16
 #: Slots of the items of one code; sets how evenly a code is spread.
 SLOTS = 1024
+#: File boundaries sent to the tasks; more are joined.
+MAX_BOUNDARIES = 250_000
 
 
 def living_objects(listing: DataFrame) -> DataFrame:
@@ -47,30 +51,58 @@ def small_objects(listing: DataFrame, config: DataFrame) -> DataFrame:
     return alive.join(known, "config_id").filter("size_bytes < block_size")
 
 
-def assign_targets(items: DataFrame, group: list[str], axes: list[str], size: str, target: str) -> DataFrame:
-    """Give every item a target file: column ``target_no``, counted from 0 per ``group``.
+def assign_targets(items: DataFrame, group: list[str], axes: list[str], size: str, target: str, tie: str) -> DataFrame:
+    """Give every item a target file: columns ``curve_code`` and ``target_no``, counted from 0 per ``group``.
 
     ``axes`` are integer columns scaled per whole input to the curve's grid; ``size`` is a positive
-    number, ``target`` the wanted size of the item's group. A file holds a stretch of the curve of about
-    ``target`` bytes, the last item of it may reach over. Items of equal code take slots on the stretch
-    that all of them fill, so a code that exceeds a file is spread evenly over as many files as it
-    fills. No item is dropped; null axes count as the lowest value.
+    number, ``target`` the wanted size of the item's group, ``tie`` a column that differs between items
+    and is the same whenever the input is read. A file holds a stretch of the curve of about ``target``
+    bytes, the last item of it may reach over. Items of equal code take slots on the stretch that all of
+    them fill, so a code that exceeds a file is spread evenly over as many files as it fills. No item is
+    dropped; null axes count as the lowest value.
+
+    Where files begin on the curve is one row per file. Up to ``MAX_BOUNDARIES`` they go to the tasks that
+    compute the codes, and items are not shuffled here; beyond, items are joined to the histogram.
     """
-    cols = items.columns
-    items = written(items, "items")  # read three times below: made once
-    extent = items.agg(F.struct(*[F.min(a).alias(f"lo_{a}") for a in axes], *[F.max(a).alias(f"hi_{a}") for a in axes]).alias("extent"))
-    grid = items.withColumn("__ks_extent", extent.scalar())
-    coded = grid.withColumn("__ks_code", hilbert_code([scaled(F.col(a), F.col(f"__ks_extent.lo_{a}"), F.col(f"__ks_extent.hi_{a}"), CODE_BITS) for a in axes], CODE_BITS)).select(*cols, "__ks_code")
-    coded = written(coded.withColumn("__ks_slot", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SLOTS))), "coded")
-    histogram = coded.groupBy(*group, "__ks_code").agg(F.sum(size).alias("__ks_bytes"), F.max(target).alias("__ks_target"))
+    extent = items.agg(*[f(a) for a in axes for f in (F.min, F.max)]).first()
+    scale = [scaled(F.col(a), F.lit(extent[2 * i]), F.lit(extent[2 * i + 1]), CODE_BITS) for i, a in enumerate(axes)]
+    slot = F.pmod(F.xxhash64(tie), F.lit(SLOTS))
+    coded = items.withColumn("curve_code", hilbert_code(scale, CODE_BITS))
+    histogram = coded.groupBy(*group, "curve_code").agg(F.sum(size).alias("__ks_bytes"), F.max(target).alias("__ks_target"))
     shift = max(0, CODE_BITS * len(axes) - 20)
-    placed = with_running_total(histogram, group, "__ks_code", "__ks_bytes", F.shiftright("__ks_code", shift), "__ks_before")
-    placed = placed.select(*[F.col(g).alias(f"__ks_g{i}") for i, g in enumerate(group)], F.col("__ks_code").alias("__ks_c2"), "__ks_before", "__ks_bytes", "__ks_target")
-    on = F.col("__ks_code") == F.col("__ks_c2")
+    placed = written(with_running_total(histogram, group, "curve_code", "__ks_bytes", F.shiftright("curve_code", shift), "__ks_before"), "histogram")
+    begins = F.ceil(F.col("__ks_before") / F.col("__ks_target"))
+    ends = F.ceil((F.col("__ks_before") + F.col("__ks_bytes")) / F.col("__ks_target")) - 1
+    starts = placed.filter(ends >= begins).withColumn("__ks_no", F.explode(F.sequence(begins, ends)))
+    at = F.col("curve_code") * SLOTS + F.ceil((F.col("__ks_no") * F.col("__ks_target") - F.col("__ks_before")) * SLOTS / F.col("__ks_bytes"))
+    starts = starts.select(F.to_json(F.struct(*group)).alias("g"), at.alias("at"))
+    known = starts.limit(MAX_BOUNDARIES + 1).toPandas()
+    if len(known) > MAX_BOUNDARIES:
+        return _joined_targets(coded.withColumn("__ks_slot", slot), placed, group)
+    cuts = {g: np.sort(x.to_numpy(np.int64)) for g, x in known.groupby("g")["at"]}
+    shared = items.sparkSession.sparkContext.broadcast(cuts)
+
+    @F.pandas_udf("long")
+    def number(groups: pd.Series, places: pd.Series) -> pd.Series:
+        names, kinds = pd.factorize(groups)
+        out, where = np.empty(len(places), np.int64), places.to_numpy(np.int64)
+        for i, g in enumerate(kinds):
+            of = names == i
+            out[of] = np.searchsorted(shared.value[g], where[of], side="right") - 1
+        return pd.Series(out)
+
+    return coded.withColumn("target_no", number(F.to_json(F.struct(*group)), F.col("curve_code") * SLOTS + slot))
+
+
+def _joined_targets(coded: DataFrame, placed: DataFrame, group: list[str]) -> DataFrame:
+    """Targets by a join of the items with the running totals of the histogram."""
+    cols = [c for c in coded.columns if c not in ("curve_code", "__ks_slot")]
+    placed = placed.select(*[F.col(g).alias(f"__ks_g{i}") for i, g in enumerate(group)], F.col("curve_code").alias("__ks_code"), "__ks_before", "__ks_bytes", "__ks_target")
+    on = F.col("curve_code") == F.col("__ks_code")
     for i, g in enumerate(group):
         on = on & F.col(g).eqNullSafe(F.col(f"__ks_g{i}"))
     position = F.col("__ks_before") + F.floor(F.col("__ks_bytes") * F.col("__ks_slot") / SLOTS)
-    return coded.join(placed, on).select(*cols, F.col("__ks_code").alias("curve_code"), F.floor(position / F.col("__ks_target")).alias("target_no"))
+    return coded.join(placed, on).select(*cols, "curve_code", F.floor(position / F.col("__ks_target")).alias("target_no"))
 
 
 def name_number(name: Column) -> Column:
@@ -88,8 +120,8 @@ def plan_consolidation(listing: DataFrame, config: DataFrame) -> DataFrame:
     their place in the name order. Returns ``object_id, store_id, config_id, folder, path, size_bytes,
     block_size, curve_code, target_no``; each candidate stands in exactly one row.
     """
-    small = small_objects(listing, config).withColumn("__time", F.unix_micros(F.col("last_modified").cast("timestamp"))).withColumn("__name", name_number(F.col("name")))
-    return assign_targets(small, ["store_id", "config_id", "folder"], ["__time", "__name"], "size_bytes", "block_size").select("object_id", "store_id", "config_id", "folder", "path", "size_bytes", "block_size", "curve_code", "target_no")
+    small = written(small_objects(listing, config), "small-objects").withColumn("__time", F.unix_micros(F.col("last_modified").cast("timestamp"))).withColumn("__name", name_number(F.col("name")))
+    return assign_targets(small, ["store_id", "config_id", "folder"], ["__time", "__name"], "size_bytes", "block_size", "object_id").select("object_id", "store_id", "config_id", "folder", "path", "size_bytes", "block_size", "curve_code", "target_no")
 
 
 def row_digest(df: DataFrame, columns: list[str], group: list[str]) -> DataFrame:
@@ -103,13 +135,13 @@ def row_digest(df: DataFrame, columns: list[str], group: list[str]) -> DataFrame
     return df.select(*group, h.alias("__h")).groupBy(*group).agg(F.count("*").alias("rows"), F.bit_xor("__h").alias("xor_hash"), F.sum(F.col("__h").cast("decimal(38,0)")).alias("sum_hash"))
 
 
-def consolidate_rows(rows: DataFrame, group: list[str], axes: list[str], size: str, target: str, path: str) -> DataFrame:
+def consolidate_rows(rows: DataFrame, group: list[str], axes: list[str], size: str, target: str, tie: str, path: str) -> DataFrame:
     """Write rows as balanced, curve-clustered files below ``path`` and read them back.
 
     Rows of a target stand in curve order; ``target_no`` and ``curve_code`` stay as columns so that a
     reader can verify the balance of the targets.
     """
-    placed = assign_targets(rows, group, axes, size, target)
+    placed = assign_targets(rows, group, axes, size, target, tie)
     out = placed.repartition(*group, "target_no").sortWithinPartitions(*group, "target_no", "curve_code")
     out.write.mode("overwrite").parquet(path)
     return rows.sparkSession.read.schema(out.schema).parquet(path)

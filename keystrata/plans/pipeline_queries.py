@@ -11,7 +11,7 @@ from keystrata.operators.changefeed import apply_changes
 from keystrata.operators.incremental import visible_changes
 from keystrata.operators.smallfiles import consolidate_rows, plan_consolidation, row_digest, small_objects
 from keystrata.operators.snapshots import snapshot_changes, snapshot_records
-from keystrata.sources.scratch import shared_folder
+from keystrata.sources.scratch import sent_if_small, shared_folder, written
 from keystrata.sources.tables import table
 
 
@@ -81,12 +81,14 @@ def p5_consolidated(spark: SparkSession, d: str) -> DataFrame:
     """
     small = small_objects(table(spark, d, "object_meta"), table(spark, d, "db_config")).filter("folder = 'wal'")
     small = small.select("store_id", F.regexp_extract("name", r"^([0-9]{20})\.sst$", 1).try_cast("bigint").alias("wal_id"), "config_id", "block_size").filter("wal_id is not null")
+    small = written(small, "small-wals")
     feed = table(spark, d, "row_entry")
     data = feed.columns
-    rows = feed.join(small, ["store_id", "wal_id"]).withColumn("__bytes", F.coalesce(F.octet_length("key"), F.lit(0)) + F.coalesce(F.octet_length("value"), F.lit(0)) + 21)
+    # numbered where the files are read, so that a row keeps its number when a task runs again
+    rows = feed.withColumn("__row", F.monotonically_increasing_id()).join(sent_if_small(small), ["store_id", "wal_id"]).withColumn("__bytes", F.coalesce(F.octet_length("key"), F.lit(0)) + F.coalesce(F.octet_length("value"), F.lit(0)) + 21)
     number = lambda part: F.conv(F.hex(part), 16, 10).try_cast("bigint")
     rows = rows.withColumn("__prefix", number(F.substring("key", 1, 6))).withColumn("__tail", number(F.substring("key", -6, 6)))
-    out = consolidate_rows(rows, ["store_id", "config_id"], ["__prefix", "__tail", "seq"], "__bytes", "block_size", f"{shared_folder(spark)}/consolidated-{uuid.uuid4().hex}")
+    out = consolidate_rows(rows, ["store_id", "config_id"], ["__prefix", "__tail", "seq"], "__bytes", "block_size", "__row", f"{shared_folder(spark)}/consolidated-{uuid.uuid4().hex}")
     before, after = row_digest(rows, data, ["store_id"]), row_digest(out, data, ["store_id"])
     files = small.groupBy("store_id").agg(F.count("*").alias("objects_before"))
     targets = out.groupBy("store_id", "config_id", "target_no").agg(F.sum("__bytes").alias("b")).groupBy("store_id").agg(F.count("*").alias("objects_after"), F.max("b").alias("largest_bytes"))

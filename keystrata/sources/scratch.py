@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,3 +28,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def sent_if_small(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
+    """A written table with a broadcast hint if it has at most ``max_rows`` narrow rows; else as it is.
+
+    The rows are counted from the files' footers; a larger table is joined by a shuffle.
+    """
+    return F.broadcast(df) if df.count() <= max_rows else df

@@ -4,8 +4,10 @@ from collections import defaultdict
 from datetime import datetime, timedelta
 
 import numpy as np
+import pytest
 from keystrata.functions.hilbert import hilbert_codes
 from keystrata.functions.paths import clean_path
+from keystrata.operators import smallfiles
 from keystrata.operators.smallfiles import assign_targets, consolidate_rows, plan_consolidation, row_digest, small_objects
 from pyspark.sql import functions as F
 
@@ -61,11 +63,13 @@ def test_only_the_latest_listing_of_small_data_objects_counts(spark):
     assert plan_consolidation(listing.limit(0), config).count() == 0
 
 
-def test_targets_are_balanced_even_where_a_third_of_rows_is_equal(spark):
+@pytest.mark.parametrize("boundaries", [1000, 5])
+def test_targets_are_balanced_even_where_a_third_of_rows_is_equal(spark, monkeypatch, boundaries):
+    monkeypatch.setattr(smallfiles, "MAX_BOUNDARIES", boundaries)
     rng = random.Random(4)
     rows = [(1, 7, 7, 10, 400) for _ in range(1000)] + [(g, rng.randrange(1000), rng.randrange(1000), rng.randrange(1, 20), 400) for g in (1, 2) for _ in range(1000)] + [(1, None, None, 5, 400)]
-    df = spark.createDataFrame(rows, "g int, x int, y int, bytes int, target int").selectExpr("*", "'c' as curve", "0 as code")
-    out = assign_targets(df, ["g"], ["x", "y"], "bytes", "target").collect()
+    df = spark.createDataFrame(rows, "g int, x int, y int, bytes int, target int").selectExpr("*", "'c' as curve", "0 as code", "monotonically_increasing_id() as row")
+    out = assign_targets(df, ["g"], ["x", "y"], "bytes", "target", "row").collect()
     assert len(out) == len(rows)
     sizes = defaultdict(int)
     for r in out:
@@ -77,7 +81,7 @@ def test_targets_are_balanced_even_where_a_third_of_rows_is_equal(spark):
 def test_consolidated_rows_have_equal_digests(spark, tmp_path):
     rows = [(i % 3, bytes([i % 7]) if i % 5 else None, i, 20, 200) for i in range(500)] * 2
     df = spark.createDataFrame(rows, "g int, key binary, seq bigint, size int, target int")
-    out = consolidate_rows(df, ["g"], ["seq"], "size", "target", f"file://{tmp_path}/out")
+    out = consolidate_rows(df, ["g"], ["seq"], "size", "target", "seq", f"file://{tmp_path}/out")
     columns = ["g", "key", "seq"]
     assert sorted(map(tuple, row_digest(df, columns, ["g"]).collect())) == sorted(map(tuple, row_digest(out, columns, ["g"]).collect()))
     lost = out.filter("seq <> 3")
