@@ -1,40 +1,62 @@
-"""Key hashes and filter probes as column expressions.
+"""Key hashes and filter probes.
 
-The hash is 64-bit FNV-1. Its multiplication wraps at 64 bits, which SQL integers do not; the state is
-kept as two 32-bit halves in signed 64-bit numbers, so no intermediate overflows.
+The hash is 64-bit FNV-1, computed over Arrow batches: byte position by byte position over all keys of a
+batch, longest keys first, so every step is one vector operation. Probes are plain column expressions on
+the two 32-bit halves of the hash, which keep every intermediate within signed 64-bit numbers.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# fixed values of the hash: offset basis as two halves, prime = 2**40 + 435
-BASIS_HIGH, BASIS_LOW, PRIME_LOW = 3421674724, 2216829733, 435
+# fixed values of the hash
+BASIS, PRIME = 14695981039346656037, 1099511628211
 MASK = 0xFFFFFFFF
 
 
-def fnv1_halves(key: Column) -> Column:
-    """Struct ``hi, lo`` (bigint, 32 bits each) of the FNV-1 hash; null for null, the basis for empty."""
-    start = F.struct(F.lit(BASIS_HIGH).cast("bigint").alias("hi"), F.lit(BASIS_LOW).cast("bigint").alias("lo"))
-    n = F.octet_length(key)
-    # byte values of the key: a byte array cast character by character is slow, hex digits are not
-    digits = F.hex(key)
+def fnv1(keys: pa.BinaryArray) -> np.ndarray:
+    """FNV-1 of every key as unsigned 64-bit numbers; nulls hash as empty keys."""
+    keys = keys.cast(pa.large_binary()).fill_null(b"")
+    ends = np.frombuffer(keys.buffers()[1], np.int64)[keys.offset : keys.offset + len(keys) + 1]
+    data = np.frombuffer(keys.buffers()[2] or b"", np.uint8)
+    sizes = np.diff(ends)
+    order = np.argsort(-sizes, kind="stable")
+    starts, sizes = ends[:-1][order], sizes[order]
+    h = np.full(len(order), BASIS, np.uint64)
+    longest = int(sizes[0]) if len(sizes) else 0
+    # how many keys are longer than i bytes, for every i
+    active = len(sizes) - np.searchsorted(sizes[::-1], np.arange(longest), side="right")
+    for i in range(longest):
+        n = active[i]
+        h[:n] = (h[:n] * np.uint64(PRIME)) ^ data[starts[:n] + i]
+    out = np.empty_like(h)
+    out[order] = h
+    return out
+
+
+def fnv1_hash(key: Column) -> Column:
+    """The hash of a binary column as a bigint of the same 64 bits; null for null."""
 
-    def step(h: Column, i: Column) -> Column:
-        byte = F.conv(F.substring(digits, i * 2 - 1, F.lit(2)), 16, 10).cast("bigint")
-        product = h["lo"] * PRIME_LOW
-        high = (h["hi"] * PRIME_LOW + h["lo"] * 256 + F.shiftright(product, 32)).bitwiseAND(F.lit(MASK).cast("bigint"))
-        return F.struct(high.alias("hi"), product.bitwiseAND(F.lit(MASK).cast("bigint")).bitwiseXOR(byte).alias("lo"))
+    @F.arrow_udf("long")
+    def run(keys: pa.Array) -> pa.Array:
+        return pa.array(fnv1(keys).view(np.int64), mask=keys.is_null().to_numpy(zero_copy_only=False))
 
-    positions = F.when(n > 0, F.sequence(F.lit(1), n)).when(n == 0, F.array().cast("array<int>"))
-    return F.aggregate(positions, start, step)
+    return run(key)
+
+
+def fnv1_halves(key: Column) -> Column:
+    """Struct ``hi, lo`` (bigint, 32 bits each) of the FNV-1 hash; null for null."""
+    h = fnv1_hash(key)
+    halves = F.struct(F.shiftrightunsigned(h, 32).alias("hi"), h.bitwiseAND(F.lit(MASK).cast("bigint")).alias("lo"))
+    return F.when(h.isNotNull(), halves)
 
 
 def fnv1_hex(key: Column) -> Column:
     """The hash as 16 upper-case hex digits."""
-    h = fnv1_halves(key)
-    return F.concat(F.lpad(F.hex(h["hi"]), 8, "0"), F.lpad(F.hex(h["lo"]), 8, "0"))
+    return F.lpad(F.hex(fnv1_hash(key)), 16, "0")
 
 
 def probe_bits(halves: Column, bits: Column, probes: int) -> Column:

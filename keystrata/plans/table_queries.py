@@ -12,6 +12,7 @@ from keystrata.functions.paths import clean_path, clean_segments, extension
 from keystrata.operators import entries, layers, merge, prune, read, rowformat
 from keystrata.operators.ordering import with_running_total
 from keystrata.plans.changelog import LOG_SQL, change_log, flushed, placed_log, user_key
+from keystrata.sources.scratch import written
 from keystrata.sources.tables import table
 
 QUERIES: dict = {}
@@ -322,7 +323,7 @@ def block_for_key(spark: SparkSession, d: str) -> DataFrame:
 
 def _lookup(spark: SparkSession, d: str, clamp: bool) -> DataFrame:
     runs = layers.flush(placed_log(spark, d).filter(F.col("layer") == layers.RUN), ["layer", "unit"])
-    tables = merge.roll(runs, ["unit"], 1024).groupBy("unit", "table_no").agg(F.min("key").alias("first_key"))
+    tables = written(merge.roll(runs, ["unit"], 1024).groupBy("unit", "table_no").agg(F.min("key").alias("first_key")), "table-index")
     # every run is asked for every wanted key: the run ids are put on each key as a list
     ids = tables.agg(F.collect_set("unit")).scalar()
     wanted = table(spark, d, "customer").select(user_key(F.col("c_custkey")).alias("key")).distinct().withColumn("ids", ids).select("key", F.explode("ids").alias("unit"))
@@ -375,8 +376,9 @@ def stored_filter_probe(spark: SparkSession, d: str) -> DataFrame:
     filters = table(spark, d, "sst_filter").filter("octet_length(data) > 0 and num_probes > 0").dropDuplicates(["sst_id"])
     spans = filters.select("sst_id", "store_id", F.explode(F.sequence("first_wal_id", "last_wal_id")).alias("wal_id"))
     keys = table(spark, d, "row_entry").filter("octet_length(key) > 0").select("store_id", "wal_id", "key").distinct()
-    asked = keys.join(spans, ["store_id", "wal_id"]).select("sst_id", "key").distinct().join(filters.select("sst_id", "data", "num_probes"), "sst_id")
-    bits = probe_bits_n(fnv1_halves(F.col("key")), (F.octet_length("data") * 8).cast("bigint"), F.col("num_probes"))
+    hashed = keys.join(spans, ["store_id", "wal_id"]).select("sst_id", "key").distinct().withColumn("h", fnv1_halves(F.col("key")))
+    asked = hashed.join(filters.select("sst_id", "data", "num_probes"), "sst_id")
+    bits = probe_bits_n(F.col("h"), (F.octet_length("data") * 8).cast("bigint"), F.col("num_probes"))
     maybe = F.forall(bits, lambda bit: bit_is_set(F.col("data"), bit))
     return asked.select("sst_id", maybe.alias("maybe")).groupBy("sst_id").agg(F.count("*").alias("keys"), F.sum(F.when(F.col("maybe"), 0).otherwise(1)).cast("bigint").alias("missed"))
 
