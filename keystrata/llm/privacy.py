@@ -51,8 +51,8 @@ _PARTICLE = r"(?:van|von|del|de|da|di|du|af|av|der|den|ter|zu|la|le)(?: (?:la|de
 #: Words that stand before a name without being part of it.
 _LEAD = r"(?:FIXME|TODO|XXX|NOTE|HACK|Ms|Mr|Mrs|Dr|Prof|Sir|By|By|From|To|With|Thanks|Contact|Ask|Written|Created|Copyright|Author|Maintainer|Write|The|All|Tel|Fax|Phone|Box|Co)"
 _NAME = re.compile(
-    rf"(?<![\w.’-])(?<!\w')(?!{_LEAD}\b)(?:(?:{_WORD}|{_INITIAL})(?: {_INITIAL})*(?: {_PARTICLE})? {_WORD}(?!\w|['’]\w)"
-    rf"|{_WORD}, (?:{_WORD}|{_INITIAL})(?: {_INITIAL})*(?!\w|['’]\w))"
+    rf"(?<![\w.’-])(?<!\w')(?!{_LEAD}\b)(?:(?:{_WORD}|{_INITIAL})(?: {_INITIAL}){{0,3}}(?: {_PARTICLE})? {_WORD}(?!\w|['’]\w)"
+    rf"|{_WORD}, (?:{_WORD}|{_INITIAL})(?: {_INITIAL}){{0,3}}(?!\w|['’]\w))"
     r"|[ァ-ヶー]+(?:・[ァ-ヶー]+)+"
 )
 _FIELD = re.compile(rf"(?i:first|last|given|family|sur|middle|fore)[_ ]?name[\"']?\s*[:=]\s*[\"']((?:[^\"'\n]|(?<=[OD])'(?={_L})){{2,40}})[\"']")
@@ -215,7 +215,7 @@ def candidates(text: str) -> list[tuple[str, int, int, int, bool, list[str]]]:
             gap = next((i for i in range(1, 15) if b + i in first), 0)
             back = next((i for i in range(1, 15) if a - i in last), 0)
             beside = gap > 0 and "\n" not in text[b : b + gap] or back > 0 and "\n" not in text[a - back : a]
-            begin = max(text.rfind("\n", 0, a), a - 48, 0)
+            begin = max(text.rfind("\n", max(0, a - 48), a), a - 48, 0)
             cue = _CUE.search(text, begin, a) is not None
             if "," in name and not (beside or cue or text[a - 1 : a] in tuple("\"'[(*|;")):
                 # "Family, Given" only where something encloses it; otherwise look again from the second part

@@ -78,3 +78,15 @@ def test_terms_of_names_disclose_and_words_do_not(spark):
 def test_empty_table(spark):
     _, found = places(spark, TEXTS[9:11])
     assert found.count() == 0
+
+
+def test_long_texts_of_every_kind_take_linear_time():
+    import time
+
+    from keystrata.llm.privacy import candidates
+
+    parts = ["A. ", "Aa Bb ", "Aa-", "Aa, Bb, ", "123 456 789 ", "1", "a.", "x@", "(at)", "a at b dot ", "'a', ", "''", "+1 ", "12 Aa Street ", "1 rue des ", "ア・", "author: ", '"name": "', "insert into a values ('b', "]
+    began = time.process_time()
+    for part in parts:
+        candidates(part * (60_000 // len(part)))
+    assert time.process_time() - began < 20
