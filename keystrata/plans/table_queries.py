@@ -45,7 +45,7 @@ def long(name: str):
 @query(LOG_SQL + "SELECT k AS key, v AS value, seq FROM committed WHERE kind = 0")
 def get_committed_all(spark: SparkSession, d: str) -> DataFrame:
     log = change_log(spark, d)
-    return read.get_all(log, read.COMMITTED, flushed(log)).select(text("key"), text("value"), "seq")
+    return read.get_all(log, read.COMMITTED, flushed(spark, d)).select(text("key"), text("value"), "seq")
 
 
 @query(LOG_SQL + "SELECT k AS key, v AS value, seq FROM uncommitted WHERE kind = 0")
@@ -57,7 +57,7 @@ def get_uncommitted_all(spark: SparkSession, d: str) -> DataFrame:
 (SELECT * FROM committed WHERE kind = 0) c FULL JOIN (SELECT * FROM uncommitted WHERE kind = 0) u ON c.k = u.k WHERE c.seq IS DISTINCT FROM u.seq""")
 def read_level_diff(spark: SparkSession, d: str) -> DataFrame:
     log = change_log(spark, d)
-    c = read.get_all(log, read.COMMITTED, flushed(log)).select("key", F.col("seq").alias("committed_seq"))
+    c = read.get_all(log, read.COMMITTED, flushed(spark, d)).select("key", F.col("seq").alias("committed_seq"))
     u = read.get_all(log, read.UNCOMMITTED).select("key", F.col("seq").alias("uncommitted_seq"))
     return c.join(u, "key", "full").filter(~F.col("committed_seq").eqNullSafe(F.col("uncommitted_seq"))).select(text("key"), "committed_seq", "uncommitted_seq")
 
@@ -67,19 +67,19 @@ def read_level_diff(spark: SparkSession, d: str) -> DataFrame:
 def multi_get(spark: SparkSession, d: str) -> DataFrame:
     log = change_log(spark, d)
     wanted = table(spark, d, "customer").select(user_key(F.col("c_custkey")).alias("key"))
-    return read.multi_get(log, wanted, read.COMMITTED, flushed(log)).select(text("key"), "found", text("value"))
+    return read.multi_get(log, wanted, read.COMMITTED, flushed(spark, d)).select(text("key"), "found", text("value"))
 
 
 @query(LOG_SQL + "SELECT k AS key, v AS value, seq FROM committed WHERE kind = 0 AND k = 'u00000000000000000007'")
 def point_get(spark: SparkSession, d: str) -> DataFrame:
     log = change_log(spark, d)
-    return read.get(log, b"u00000000000000000007", read.COMMITTED, flushed(log)).select(text("key"), text("value"), "seq")
+    return read.get(log, b"u00000000000000000007", read.COMMITTED, flushed(spark, d)).select(text("key"), text("value"), "seq")
 
 
 @query(LOG_SQL + "SELECT k AS key, seq FROM committed WHERE kind = 1")
 def deleted_keys(spark: SparkSession, d: str) -> DataFrame:
     log = change_log(spark, d)
-    return read.deleted_keys(log, read.COMMITTED, flushed(log)).select(text("key"), "seq")
+    return read.deleted_keys(log, read.COMMITTED, flushed(spark, d)).select(text("key"), "seq")
 
 
 @query(LOG_SQL + "SELECT k AS key, seq FROM log l WHERE kind = 1 AND NOT EXISTS (SELECT 1 FROM log o WHERE o.k = l.k AND o.kind = 0 AND o.seq < l.seq)")
@@ -110,20 +110,20 @@ def key_history(spark: SparkSession, d: str) -> DataFrame:
 @query(LOG_SQL + "SELECT k AS key, v AS value FROM committed WHERE kind = 0 AND k >= 'u00000000000000000040' AND k < 'u00000000000000000090'")
 def range_scan(spark: SparkSession, d: str) -> DataFrame:
     log = change_log(spark, d)
-    return read.scan(log, b"u00000000000000000040", b"u00000000000000000090", read.COMMITTED, flushed(log)).select(text("key"), text("value"))
+    return read.scan(log, b"u00000000000000000040", b"u00000000000000000090", read.COMMITTED, flushed(spark, d)).select(text("key"), text("value"))
 
 
 @query(LOG_SQL + "SELECT k AS key, v AS value FROM committed WHERE kind = 0 AND starts_with(k, 'u0000000000000000001')")
 def prefix_scan(spark: SparkSession, d: str) -> DataFrame:
     log = change_log(spark, d)
-    return read.scan_prefix(log, b"u0000000000000000001", read.COMMITTED, flushed(log)).select(text("key"), text("value"))
+    return read.scan_prefix(log, b"u0000000000000000001", read.COMMITTED, flushed(spark, d)).select(text("key"), text("value"))
 
 
 @query(LOG_SQL + "SELECT k AS key, CAST(kind AS BIGINT) AS kind, row_number() OVER (ORDER BY k) AS position FROM committed")
 def ordered_scan(spark: SparkSession, d: str) -> DataFrame:
     """All keys in byte order, tombstones included, with their position: counted per key range, then summed."""
     log = change_log(spark, d)
-    rows = entries.latest(read.at_level(log, read.COMMITTED, flushed(log)))
+    rows = entries.latest(read.at_level(log, read.COMMITTED, flushed(spark, d)))
     numbered = with_running_total(rows.withColumn("one", F.lit(1)), [], "key", "one", F.substring("key", 1, 19), "before")
     return numbered.select(text("key"), long("kind"), (F.col("before") + 1).cast("bigint").alias("position"))
 
@@ -260,7 +260,7 @@ SELECT CAST(l0 // 4 AS BIGINT) AS run_id, count(*) AS tables, count(*) = 4 AS sc
 def compaction_schedule(spark: SparkSession, d: str) -> DataFrame:
     """Level-0 tables by the run they go to; a run is scheduled once it has four."""
     log = change_log(spark, d)
-    l0 = log.select(F.floor((F.col("wal_id") - 1) / 24).alias("l0")).filter(F.col("l0") < F.floor(flushed(log) / 24)).distinct()
+    l0 = log.select(F.floor((F.col("wal_id") - 1) / 24).alias("l0")).filter(F.col("l0") < F.floor(flushed(spark, d) / 24)).distinct()
     return l0.groupBy(F.floor(F.col("l0") / 4).alias("run_id")).agg(F.count("*").alias("tables")).withColumn("scheduled", F.col("tables") == merge.LEVEL0_LIMIT)
 
 
