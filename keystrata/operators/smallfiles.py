@@ -12,7 +12,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from keystrata.functions.hilbert import hilbert_code, scaled
 from keystrata.functions.paths import clean_segments, extension
@@ -130,8 +129,7 @@ def row_digest(df: DataFrame, columns: list[str], group: list[str]) -> DataFrame
     Equal multisets of rows give equal digests; a row lost, doubled or altered changes the count or one
     of the two hash folds. Nulls and empty values hash differently.
     """
-    marks = [F.coalesce(F.col(c).cast("string") if isinstance(df.schema[c].dataType, T.TimestampNTZType) else F.col(c), F.lit(None)) for c in columns]
-    h = F.xxhash64(*[x for c, m in zip(columns, marks) for x in (m, F.isnull(c))])
+    h = F.xxhash64(*[x for c in columns for x in (F.col(c), F.isnull(c))])
     return df.select(*group, h.alias("__h")).groupBy(*group).agg(F.count("*").alias("rows"), F.bit_xor("__h").alias("xor_hash"), F.sum(F.col("__h").cast("decimal(38,0)")).alias("sum_hash"))
 
 

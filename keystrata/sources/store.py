@@ -124,9 +124,11 @@ class KeyedTable:
 
     # reading
 
-    def rows(self, level: str = COMMITTED, version: int | None = None, low: bytes | None = None, high: bytes | None = None) -> DataFrame:
+    def rows(self, level: str = COMMITTED, version: int | None = None, low: bytes | None = None, high: bytes | None = None, keys: DataFrame | None = None) -> DataFrame:
         """Winning row per key, tombstones included; ``version`` reads an earlier manifest.
 
+        ``keys`` (column ``key``) reduces every layer by a semi-join before winners are picked.
+
         ``low`` and ``high`` (exclusive) leave out stored tables by their key range before any is opened;
         what is opened is filtered on the stored key, so pages are skipped as well.
         """
@@ -142,6 +144,8 @@ class KeyedTable:
             every = every.filter(F.col("key") >= F.lit(low))
         if high is not None:
             every = every.filter(F.col("key") < F.lit(high))
+        if keys is not None:
+            every = every.join(keys.select("key"), "key", "left_semi")
         return latest(every, rank=["layer", "unit", "seq"]).select("key", "kind", "value", "seq", "wal_id")
 
     def get(self, key: bytes, level: str = COMMITTED) -> bytes | None:
@@ -152,7 +156,7 @@ class KeyedTable:
     def multi_get(self, keys: DataFrame, level: str = COMMITTED) -> DataFrame:
         """``key, found, value`` per distinct key."""
         wanted = keys.select("key").distinct()
-        hits = live(self.rows(level)).select("key", "value", F.lit(True).alias("__hit"))
+        hits = live(self.rows(level, keys=wanted)).select("key", "value", F.lit(True).alias("__hit"))
         return wanted.join(hits, "key", "left").select("key", F.coalesce("__hit", F.lit(False)).alias("found"), "value")
 
     def scan(self, start: bytes | None = None, end: bytes | None = None, level: str = COMMITTED) -> DataFrame:
