@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from keystrata.operators.entries import empty_as_tombstone, entry_size, latest, live
 from keystrata.operators.ordering import week, with_running_total
+from keystrata.sources.scratch import sent_if_small, written
 
 #: Rank of a layer; the higher one is newer.
 RUN, LEVEL0, MEMORY, LOG = 0, 1, 2, 3
@@ -18,11 +19,13 @@ RUN, LEVEL0, MEMORY, LOG = 0, 1, 2, 3
 def number_wals(changes: DataFrame, tick: str) -> DataFrame:
     """Give every non-empty tick the next WAL id (from 1, without gaps).
 
-    Only the distinct ticks are ranked, week by week, with the counts of the weeks before. Null ticks are
-    no batch.
+    Only the distinct ticks are ranked, week by week, with the counts of the weeks before. Up to half a
+    million of them are sent to the tasks that read the changes, so the changes are not shuffled; more
+    are joined by a shuffle. Null ticks are no batch.
     """
     ticks = changes.select(F.col(tick).alias("__t")).filter("__t is not null").distinct().withColumn("__one", F.lit(1))
     ids = with_running_total(ticks, [], "__t", "__one", week(F.col("__t")), "__before").select("__t", (F.col("__before") + 1).cast("bigint").alias("wal_id"))
+    ids = sent_if_small(written(ids, "ticks"))
     return changes.join(ids, F.col(tick) == F.col("__t")).drop("__t")
 
 
