@@ -2,8 +2,9 @@
 
 Rows (or objects) get a Hilbert code over several dimensions, an exact histogram of bytes per code is
 summed along the curve, and every target file takes the next stretch of the curve that fills it. The
-shuffle by target file is a range shuffle whose boundaries come from the exact histogram, not a sample.
-Source and destination are compared by row digests before a result counts.
+shuffle by target file is a range shuffle whose boundaries come from the exact histogram, not a sample,
+and every target becomes a file of its own. Source and destination are compared by row digests before a
+result counts.
 """
 
 from __future__ import annotations
@@ -12,11 +13,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from keystrata.functions.hilbert import hilbert_code, scaled
 from keystrata.functions.paths import clean_segments, extension
 from keystrata.operators.ordering import with_running_total
-from keystrata.sources.scratch import written
+from keystrata.sources.scratch import sent_if_small, written
 
 DATA_FOLDERS = ("wal", "compacted")
 CODE_BITS = 16
@@ -24,6 +26,9 @@ CODE_BITS = 16
 SLOTS = 1024
 #: File boundaries sent to the tasks; more are joined.
 MAX_BOUNDARIES = 250_000
+#: Bytes that one task writes, and bytes that opening a file counts for in that.
+TASK_BYTES = 16 << 20
+FILE_COST = 32 << 10
 
 
 def living_objects(listing: DataFrame) -> DataFrame:
@@ -63,6 +68,11 @@ def assign_targets(items: DataFrame, group: list[str], axes: list[str], size: st
     Where files begin on the curve is one row per file. Up to ``MAX_BOUNDARIES`` they go to the tasks that
     compute the codes, and items are not shuffled here; beyond, items are joined to the histogram.
     """
+    return _assigned(items, group, axes, size, target, tie)[0]
+
+
+def _assigned(items: DataFrame, group: list[str], axes: list[str], size: str, target: str, tie: str) -> tuple[DataFrame, DataFrame]:
+    """Items with their targets, and the histogram the targets were cut from."""
     extent = items.agg(*[f(a) for a in axes for f in (F.min, F.max)]).first()
     scale = [scaled(F.col(a), F.lit(extent[2 * i]), F.lit(extent[2 * i + 1]), CODE_BITS) for i, a in enumerate(axes)]
     slot = F.pmod(F.xxhash64(tie), F.lit(SLOTS))
@@ -77,7 +87,7 @@ def assign_targets(items: DataFrame, group: list[str], axes: list[str], size: st
     starts = starts.select(F.to_json(F.struct(*group)).alias("g"), at.alias("at"))
     known = starts.limit(MAX_BOUNDARIES + 1).toPandas()
     if len(known) > MAX_BOUNDARIES:
-        return _joined_targets(coded.withColumn("__ks_slot", slot), placed, group)
+        return _joined_targets(coded.withColumn("__ks_slot", slot), placed, group), placed
     cuts = {g: np.sort(x.to_numpy(np.int64)) for g, x in known.groupby("g")["at"]}
     shared = items.sparkSession.sparkContext.broadcast(cuts)
 
@@ -90,7 +100,7 @@ def assign_targets(items: DataFrame, group: list[str], axes: list[str], size: st
             out[of] = np.searchsorted(shared.value[g], where[of], side="right") - 1
         return pd.Series(out)
 
-    return coded.withColumn("target_no", number(F.to_json(F.struct(*group)), F.col("curve_code") * SLOTS + slot))
+    return coded.withColumn("target_no", number(F.to_json(F.struct(*group)), F.col("curve_code") * SLOTS + slot)), placed
 
 
 def _joined_targets(coded: DataFrame, placed: DataFrame, group: list[str]) -> DataFrame:
@@ -123,23 +133,43 @@ def plan_consolidation(listing: DataFrame, config: DataFrame) -> DataFrame:
     return assign_targets(small, ["store_id", "config_id", "folder"], ["__time", "__name"], "size_bytes", "block_size", "object_id").select("object_id", "store_id", "config_id", "folder", "path", "size_bytes", "block_size", "curve_code", "target_no")
 
 
-def row_digest(df: DataFrame, columns: list[str], group: list[str]) -> DataFrame:
+def row_digest(df: DataFrame, columns: list[str], group: list[str], *more: Column) -> DataFrame:
     """Order-independent digest of rows: count, xor and sum of 64-bit row hashes, per ``group``.
 
     Equal multisets of rows give equal digests; a row lost, doubled or altered changes the count or one
-    of the two hash folds. Nulls and empty values hash differently.
+    of the two hash folds. Nulls and empty values hash differently. ``more``: further aggregates.
     """
     h = F.xxhash64(*[x for c in columns for x in (F.col(c), F.isnull(c))])
-    return df.select(*group, h.alias("__h")).groupBy(*group).agg(F.count("*").alias("rows"), F.bit_xor("__h").alias("xor_hash"), F.sum(F.col("__h").cast("decimal(38,0)")).alias("sum_hash"))
+    return df.withColumn("__h", h).groupBy(*group).agg(F.count("*").alias("rows"), F.bit_xor("__h").alias("xor_hash"), F.sum(F.col("__h").cast("decimal(38,0)")).alias("sum_hash"), *more)
 
 
 def consolidate_rows(rows: DataFrame, group: list[str], axes: list[str], size: str, target: str, tie: str, path: str) -> DataFrame:
     """Write rows as balanced, curve-clustered files below ``path`` and read them back.
 
-    Rows of a target stand in curve order; ``target_no`` and ``curve_code`` stay as columns so that a
-    reader can verify the balance of the targets.
+    Every target is one file, whatever the number of tasks. A task takes consecutive targets of the curve,
+    as many as fill ``TASK_BYTES`` when each file costs ``FILE_COST`` besides; where it begins follows from
+    the exact histogram. Rows of a file stand in curve order; ``target_no`` and ``curve_code`` stay as
+    columns so that a reader can verify the balance of the targets. Added when read back: ``file_path``
+    and ``file_bytes``, the file a row was read from and its length.
     """
-    placed = assign_targets(rows, group, axes, size, target, tie)
-    out = placed.repartition(*group, "target_no").sortWithinPartitions(*group, "target_no", "curve_code")
-    out.write.mode("overwrite").parquet(path)
-    return rows.sparkSession.read.schema(out.schema).parquet(path)
+    spark = rows.sparkSession
+    placed, histogram = _assigned(rows, group, axes, size, target, tie)
+    totals = histogram.groupBy(*group).agg(F.sum("__ks_bytes").alias("__ks_bytes"), F.max("__ks_target").alias("__ks_target"))
+    totals = totals.withColumn("__ks_files", F.ceil(F.col("__ks_bytes") / F.col("__ks_target"))).withColumn("__ks_load", F.least(F.col("__ks_target") + FILE_COST, F.lit(TASK_BYTES)).cast("bigint"))
+    earlier = Window.orderBy(*group).rowsBetween(Window.unboundedPreceding, -1)  # one row per group
+    first = [F.coalesce(F.sum(x).over(earlier), F.lit(0)).alias(n) for x, n in ((F.col("__ks_files"), "__ks_first"), (F.col("__ks_files") * F.col("__ks_load"), "__ks_begin"))]
+    named = [F.col(g).alias(f"__ks_g{i}") for i, g in enumerate(group)]
+    begins = written(totals.select(*named, "__ks_files", "__ks_load", *first), "file-begins")
+    load = begins.agg(F.sum(F.col("__ks_files") * F.col("__ks_load"))).first()[0] or 0
+    tasks = load // TASK_BYTES + 1
+    on = F.lit(True)
+    for i, g in enumerate(group):
+        on = on & F.col(g).eqNullSafe(F.col(f"__ks_g{i}"))
+    # numbers, so that no value of the data becomes the name of a folder
+    part = F.floor((F.col("__ks_begin") + F.col("target_no") * F.col("__ks_load")) / TASK_BYTES).cast("int")
+    out = placed.join(sent_if_small(begins.drop("__ks_files")), on).select(*placed.columns, part.alias("ks_part"), (F.col("__ks_first") + F.col("target_no")).alias("ks_file"))
+    out = out.repartitionById(tasks, "ks_part").sortWithinPartitions("ks_part", "ks_file", "curve_code")
+    out.write.mode("overwrite").partitionBy("ks_part", "ks_file").parquet(path)
+    # as many tasks as wrote: Spark would read a few small files in each
+    back = spark.read.schema(out.schema).parquet(path).select(*placed.columns, F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_size").alias("file_bytes"))
+    return back.coalesce(tasks)

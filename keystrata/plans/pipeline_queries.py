@@ -76,8 +76,8 @@ def p5_targets(spark: SparkSession, d: str) -> DataFrame:
 def p5_consolidated(spark: SparkSession, d: str) -> DataFrame:
     """Rows of the small WAL objects written into balanced files; digests of source and destination.
 
-    One row per store: files and rows before and after, whether the row digests are equal, and the
-    greatest target in bytes.
+    One row per store: files and rows before and after, whether the row digests are equal, the bytes of
+    rows in the fullest file and the length of the longest. Files after are those the rows were read from.
     """
     small = small_objects(table(spark, d, "object_meta"), table(spark, d, "db_config")).filter("folder = 'wal'")
     small = small.select("store_id", F.regexp_extract("name", r"^([0-9]{20})\.sst$", 1).try_cast("bigint").alias("wal_id"), "config_id", "block_size").filter("wal_id is not null")
@@ -89,13 +89,13 @@ def p5_consolidated(spark: SparkSession, d: str) -> DataFrame:
     number = lambda part: F.conv(F.hex(part), 16, 10).try_cast("bigint")
     rows = rows.withColumn("__prefix", number(F.substring("key", 1, 6))).withColumn("__tail", number(F.substring("key", -6, 6)))
     out = consolidate_rows(rows, ["store_id", "config_id"], ["__prefix", "__tail", "seq"], "__bytes", "block_size", "__row", f"{shared_folder(spark)}/consolidated-{uuid.uuid4().hex}")
-    before, after = row_digest(rows, data, ["store_id"]), row_digest(out, data, ["store_id"])
+    before = row_digest(rows, data, ["store_id"])
     files = small.groupBy("store_id").agg(F.count("*").alias("objects_before"))
-    targets = out.groupBy("store_id", "config_id", "target_no").agg(F.sum("__bytes").alias("b")).groupBy("store_id").agg(F.count("*").alias("objects_after"), F.max("b").alias("largest_bytes"))
-    b = after.select("store_id", F.col("rows").alias("rows_after"), F.col("xor_hash").alias("x2"), F.col("sum_hash").alias("s2"))
-    joined = before.join(b, "store_id", "left").join(files, "store_id").join(targets, "store_id", "left")
+    each = row_digest(out, data, ["store_id", "file_path"], F.sum("__bytes").alias("b"), F.max("file_bytes").alias("f"))
+    after = each.groupBy("store_id").agg(F.sum("rows").alias("rows_after"), F.bit_xor("xor_hash").alias("x2"), F.sum("sum_hash").alias("s2"), F.count("*").alias("objects_after"), F.max("b").alias("largest_bytes"), F.max("f").alias("longest_file"))
+    joined = before.join(after, "store_id", "left").join(files, "store_id")
     equal = F.col("rows").eqNullSafe(F.col("rows_after")) & F.col("xor_hash").eqNullSafe(F.col("x2")) & F.col("sum_hash").eqNullSafe(F.col("s2"))
-    return joined.select("store_id", "objects_before", "objects_after", F.col("rows").alias("rows_before"), "rows_after", equal.alias("digests_equal"), "largest_bytes")
+    return joined.select("store_id", "objects_before", "objects_after", F.col("rows").alias("rows_before"), "rows_after", equal.alias("digests_equal"), "largest_bytes", "longest_file")
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_changed_fields, p2_found, p2_changes, p3_found, p3_state, p3_merge, p5_found, p5_targets, p5_consolidated)}

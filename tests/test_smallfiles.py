@@ -86,3 +86,20 @@ def test_consolidated_rows_have_equal_digests(spark, tmp_path):
     assert sorted(map(tuple, row_digest(df, columns, ["g"]).collect())) == sorted(map(tuple, row_digest(out, columns, ["g"]).collect()))
     lost = out.filter("seq <> 3")
     assert sorted(map(tuple, row_digest(df, columns, ["g"]).collect())) != sorted(map(tuple, row_digest(lost, columns, ["g"]).collect()))
+
+
+def test_every_target_is_a_file_of_its_own(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(rng.choice([1, 2, None]), rng.randrange(1000), i, rng.randrange(5, 20), 200) for i in range(2000)]
+    df = spark.createDataFrame(rows, "g int, x int, seq bigint, size int, target int")
+    out = consolidate_rows(df, ["g"], ["x", "seq"], "size", "target", "seq", f"file://{tmp_path}/out").collect()
+    assert sorted((r.g or 0, r.x, r.seq) for r in out) == sorted((r[0] or 0, r[1], r[2]) for r in rows)
+    files = defaultdict(list)
+    for r in out:
+        files["/" + r.file_path.removeprefix("file:").lstrip("/")].append(r)
+    on_disk = {str(p): p.stat().st_size for p in (tmp_path / "out").rglob("*.parquet")}
+    assert on_disk == {path: of[0].file_bytes for path, of in files.items()}
+    assert len(files) == len({(r.g, r.target_no) for r in out}) > 100
+    assert all(len({(r.g, r.target_no) for r in of}) == 1 and sum(r.size for r in of) < 2 * 200 for of in files.values())
+    stretches = sorted((of[0].g or 0, min(r.curve_code for r in of), max(r.curve_code for r in of)) for of in files.values())
+    assert all(a[0] != b[0] or a[2] <= b[1] for a, b in zip(stretches, stretches[1:]))
