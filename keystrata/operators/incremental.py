@@ -12,6 +12,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from keystrata.operators.ordering import week, with_next_event, with_previous
 from keystrata.sources.objects import ObjectFolder
@@ -72,6 +73,35 @@ def manifest_delta(before: DataFrame, after: DataFrame, name: str = "name", vers
     return both.select(F.coalesce("__a", "__b").alias(name), change.alias("change")).filter("change is not null")
 
 
+def record_delta(before: DataFrame, after: DataFrame, records, name: str = "name", version: str = "version", position: str = "position") -> DataFrame:
+    """Records inserted and deleted between two manifests: the columns of the records and ``change``.
+
+    ``records(files)`` reads files given by ``name, version`` (those that changed, each once) and returns
+    their records with ``name, version, position`` and any others; ``position`` is the row's place in its
+    file, which the deletion vectors name. A record counts where its file stands in the manifest and its
+    vector does not name it. ``change`` is ``inserted`` or ``deleted``; of a masked file only records whose
+    mark differs are returned. Records of a replaced file that are equal but for version and position
+    cancel, copy by copy. The other columns must be of types that can be grouped.
+    """
+    changed = manifest_delta(before, after, name, version).select(F.col(name).alias("__n"))
+
+    def side(manifest: DataFrame, sign: int) -> DataFrame:
+        vector = F.coalesce(F.col("deleted_rows"), F.array().cast("array<bigint>")) if "deleted_rows" in manifest.columns else F.array().cast("array<bigint>")
+        rows = manifest.select(F.col(name).alias("__n"), F.col(version).alias("__v"), F.array_sort(vector).alias("__gone"), F.lit(sign).alias("__sign")).distinct()
+        return rows.join(changed.distinct(), "__n")
+
+    sides = side(before, -1).unionByName(side(after, 1))
+    rows = records(sides.select(F.col("__n").alias(name), F.col("__v").alias(version)).distinct())
+    here = (F.col(name) == F.col("__n")) & F.col(version).eqNullSafe(F.col("__v"))
+    standing = rows.join(sides.groupBy("__n", "__v").agg(F.sum("__sign").alias("__sign")), here).drop("__n", "__v")
+    gone = sides.select("__n", "__v", F.explode(F.array_distinct("__gone")).alias("__p"), "__sign").groupBy("__n", "__v", "__p").agg(F.sum("__sign").alias("__less"))
+    standing = standing.join(gone, here & (F.col(position) == F.col("__p")), "left").withColumn("__sign", F.col("__sign") - F.coalesce("__less", F.lit(0))).filter("__sign <> 0")
+    content = [name, *[c for c in rows.columns if c not in (name, version, position)]]
+    copies = standing.withColumn("__copy", F.row_number().over(Window.partitionBy(*content, "__sign").orderBy(position)))
+    net = copies.groupBy(*content, "__copy").agg(F.sum("__sign").alias("__sign"), F.first(version).alias(version), F.first(position).alias(position)).filter("__sign <> 0")
+    return net.select(*rows.columns, F.when(F.col("__sign") > 0, "inserted").otherwise("deleted").alias("change"))
+
+
 class IncrementalTable:
     """Output table of an incremental job: data folders plus a numbered commit log.
 
@@ -88,11 +118,15 @@ class IncrementalTable:
     def commits(self) -> list[dict]:
         return [json.loads(self.log.read(n)) for n in sorted(self.log.names()) if n.endswith(".json")]
 
-    def run(self, manifest: DataFrame, process, run_id: str) -> DataFrame | None:
+    def run(self, manifest: DataFrame, process, run_id: str, records=None) -> DataFrame | None:
         """Process what changed since the last commit; returns the delta, or None if nothing changed.
 
         ``manifest``: ``name, version`` and optionally ``deleted_rows``. ``process(delta)`` returns the
         output rows for the changed files. A ``run_id`` already committed is not run again.
+
+        With ``records`` (see ``record_delta``) ``process`` gets the inserted and deleted records instead.
+        It must make each row from one record, always the same, and keep ``change``: the rows it makes of
+        a deleted record take back those made when it was inserted. Without, no output is ever taken back.
         """
         done = self.commits()
         if any(c["run_id"] == run_id for c in done):
@@ -104,11 +138,21 @@ class IncrementalTable:
         delta = manifest_delta(before, now)
         if delta.isEmpty():
             return None
-        process(delta).write.mode("overwrite").parquet(f"{self.root}/data/{run_id}")
+        process(delta if records is None else record_delta(before, now, records)).write.mode("overwrite").parquet(f"{self.root}/data/{run_id}")
         number = len(done) + 1
-        self.log.create(f"{number:020d}.json", json.dumps({"number": number, "run_id": run_id, "version": f"_versions/{run_id}", "data": f"data/{run_id}"}))
+        self.log.create(f"{number:020d}.json", json.dumps({"number": number, "run_id": run_id, "version": f"_versions/{run_id}", "data": f"data/{run_id}", "signed": records is not None}))
         return delta
 
     def read(self) -> DataFrame | None:
-        paths = [f"{self.root}/{c['data']}" for c in self.commits()]
-        return self.spark.read.parquet(*paths) if paths else None
+        """Output of all commits; rows of runs over records without those deleted since, and without ``change``."""
+        commits = self.commits()
+        plain = [f"{self.root}/{c['data']}" for c in commits if not c.get("signed")]
+        signed = [f"{self.root}/{c['data']}" for c in commits if c.get("signed")]
+        out = self.spark.read.parquet(*plain) if plain else None
+        if signed:
+            rows = self.spark.read.parquet(*signed)
+            columns = [c for c in rows.columns if c != "change"]
+            net = rows.groupBy(*columns).agg(F.sum(F.when(F.col("change") == "inserted", 1).otherwise(-1)).alias("__n")).filter("__n > 0")
+            net = net.withColumn("__n", F.explode(F.sequence(F.lit(1).cast("bigint"), "__n"))).select(*columns)
+            out = net if out is None else out.unionByName(net, allowMissingColumns=True)
+        return out

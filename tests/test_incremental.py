@@ -2,7 +2,8 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
-from keystrata.operators.incremental import IncrementalTable, manifest_delta, visible_changes
+from keystrata.operators.incremental import IncrementalTable, manifest_delta, record_delta, visible_changes
+from pyspark.sql import functions as F
 
 FILES = "store_id bigint, id bigint, last_modified timestamp_ntz, checksum bigint, run_id string, wal_id string"
 RUNS = "run_id bigint, store_id bigint, started_at timestamp_ntz, status string, next_wal_sst_id bigint, change string"
@@ -76,3 +77,28 @@ def test_runs_survive_failures_without_skipping_or_repeating(spark, tmp_path):
     assert sorted(tuple(r) for r in table.read().collect()) == [("a", "added"), ("a", "replaced"), ("b", "added"), ("c", "added")]
     again = IncrementalTable(spark, f"file://{tmp_path}/t")
     assert [c["run_id"] for c in again.commits()] == ["r1", "r3"]
+
+
+CONTENT = {("f", "1"): "ab", ("g", "1"): "abcc", ("g", "2"): "bccd", ("h", "1"): "xyz", ("i", None): "pq", ("j", "1"): "kk"}
+MANIFEST = "name string, version string, deleted_rows array<bigint>"
+
+
+def reader(spark):
+    rows = spark.createDataFrame([(n, v, i, x) for (n, v), text in CONTENT.items() for i, x in enumerate(text)], "name string, version string, position bigint, x string")
+    return lambda files: rows.withColumnsRenamed({"name": "n", "version": "v"}).join(files, (F.col("n") == files["name"]) & F.col("v").eqNullSafe(files["version"])).select("name", "version", "position", "x")
+
+
+def test_records_inserted_and_deleted_by_files_and_vectors(spark):
+    a = spark.createDataFrame([("f", "1", [1]), ("g", "1", None), ("h", "1", [2]), ("i", None, [])], MANIFEST)
+    b = spark.createDataFrame([("g", "2", [1]), ("h", "1", [0]), ("i", None, None), ("j", "1", None), ("j", "1", None)], MANIFEST)
+    got = sorted((r.name, r.x, r.position, r.change) for r in record_delta(a, b, reader(spark)).collect())
+    assert got == [("f", "a", 0, "deleted"), ("g", "a", 0, "deleted"), ("g", "c", 3, "deleted"), ("g", "d", 3, "inserted"), ("h", "x", 0, "deleted"), ("h", "z", 2, "inserted"), ("j", "k", 0, "inserted"), ("j", "k", 1, "inserted")]
+
+
+def test_output_of_deleted_records_is_taken_back(spark, tmp_path):
+    table = IncrementalTable(spark, f"file://{tmp_path}/t")
+    versions = [[("f", "1", [1]), ("g", "1", None), ("h", "1", [2])], [("g", "2", [1]), ("h", "1", [0]), ("j", "1", None)]]
+    for i, files in enumerate(versions):
+        table.run(spark.createDataFrame(files, MANIFEST), lambda d: d.selectExpr("name", "upper(x) as x", "change"), f"r{i}", reader(spark))
+        living = sorted((n, x.upper()) for n, v, gone in files for p, x in enumerate(CONTENT[n, v]) if p not in (gone or []))
+        assert sorted(tuple(r) for r in table.read().collect()) == living
