@@ -14,7 +14,7 @@ def effective(feed: DataFrame) -> Column:
     return F.col("kind").isin(PUT, DELETE) & (F.octet_length("key") > 0) & F.col("seq").isNotNull()
 
 
-def apply_changes(feed: DataFrame, partition: list[str], base: DataFrame | None = None, payload: list[str] | None = None) -> DataFrame:
+def apply_changes(feed: DataFrame, partition: list[str], base: DataFrame | None = None, payload: list[str] | None = None, tombstones: bool = False) -> DataFrame:
     """Current state of a table after all changes of a feed.
 
     ``feed``: the ``partition`` columns, ``key, kind, value, seq`` and any others. Per partition and key
@@ -24,9 +24,13 @@ def apply_changes(feed: DataFrame, partition: list[str], base: DataFrame | None
     key, null seq) are skipped. Null partition values form a partition of their own.
 
     ``base``: an earlier result (``partition, key, seq`` and the payload); its rows take part as puts
-    under the ``seq`` that made them. An empty feed gives the base back.
+    under the ``seq`` that made them. An empty feed gives the base back. A base of live rows has forgotten
+    its deletes: a put that arrives later with a smaller ``seq`` than a delete brings the key back. Where
+    changes may arrive late, keep the base with ``tombstones``: rows whose column ``deleted`` is true take
+    part as deletes.
 
-    Returns one row per live key: ``partition, key, seq`` and the ``payload`` columns. Only the columns
+    Returns one row per live key: ``partition, key, seq`` and the ``payload`` columns; with ``tombstones``
+    one row per key, with ``deleted`` (and a null payload where it is true). Only the columns
     asked for are shuffled; the rank of one row per key is taken before the shuffle as well as after it,
     so a hot key sends one row per task.
     """
@@ -35,6 +39,9 @@ def apply_changes(feed: DataFrame, partition: list[str], base: DataFrame | None
     live = (F.col("kind") == PUT) & has_value
     rows = feed.filter(effective(feed)).select(*partition, "key", "seq", *[c for c in payload], live.alias("__live"))
     if base is not None:
-        rows = rows.unionByName(base.select(*partition, "key", "seq", *payload, F.lit(True).alias("__live")))
+        rows = rows.unionByName(base.select(*partition, "key", "seq", *payload, (~F.col("deleted") if "deleted" in base.columns and "deleted" not in [*partition, *payload] else F.lit(True)).alias("__live")))
     latest = Window.partitionBy(*partition, "key").orderBy(F.col("seq").desc(), F.col("__live").asc())
-    return rows.withColumn("__rank", F.row_number().over(latest)).filter("__rank = 1 and __live").select(*partition, "key", "seq", *payload)
+    decided = rows.withColumn("__rank", F.row_number().over(latest)).filter("__rank = 1")
+    if tombstones:
+        return decided.select(*partition, "key", "seq", *[F.when(F.col("__live"), F.col(c)).alias(c) for c in payload], (~F.col("__live")).alias("deleted"))
+    return decided.filter("__live").select(*partition, "key", "seq", *payload)

@@ -55,10 +55,8 @@ def p3_state(spark: SparkSession, d: str) -> DataFrame:
 def p3_merge(spark: SparkSession, d: str) -> DataFrame:
     """The feed applied in two parts, WAL ids up to 40 first: equal to applying it at once."""
     feed = table(spark, d, "row_entry")
-    base = apply_changes(feed.filter("wal_id <= 40"), ["store_id"], payload=["value"])
-    # a delete in the first part may be newer than a put in the second: keep tombstones by feeding keys again
-    late = feed.filter("wal_id > 40").unionByName(feed.filter("wal_id <= 40 and (kind = 1 or octet_length(value) = 0 or value is null)"))
-    live = apply_changes(late, ["store_id"], base, ["value"])
+    base = apply_changes(feed.filter("wal_id <= 40"), ["store_id"], payload=["value"], tombstones=True)
+    live = apply_changes(feed.filter("wal_id > 40 or wal_id is null"), ["store_id"], base, ["value"])
     return live.select("store_id", F.hex("key").alias("key_hex"), "seq")
 
 

@@ -42,3 +42,12 @@ def test_empty_feed_gives_the_base_back(spark):
     base = spark.createDataFrame([(1, b"a", 5)], "store_id bigint, key binary, seq bigint")
     assert run(spark, [], base) == {(1, b"a", 5)}
     assert run(spark, []) == set()
+
+
+def test_a_put_older_than_a_delete_of_the_base_stays_deleted(spark):
+    rows = feed(300, 5)
+    half = len(rows) // 2  # in order of arrival, not of seq
+    base = apply_changes(spark.createDataFrame([*rows[:half], (1, b"late", 1, None, 900, 1, "p")], FEED), ["store_id"], tombstones=True)
+    late = [*rows[half:], (1, b"late", 0, b"v", 800, 1, "p")]
+    again = apply_changes(spark.createDataFrame(late, FEED), ["store_id"], base, tombstones=True)
+    assert run(spark, [], again) == run(spark, late, base) == brute(rows)
