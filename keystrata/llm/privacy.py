@@ -55,7 +55,7 @@ _NAME = re.compile(
     rf"|{_WORD}, (?:{_WORD}|{_INITIAL})(?: {_INITIAL}){{0,3}}(?!\w|['’]\w))"
     r"|[ァ-ヶー]+(?:・[ァ-ヶー]+)+"
 )
-_FIELD = re.compile(rf"(?i:first|last|given|family|sur|middle|fore)[_ ]?name[\"']?\s*[:=]\s*[\"']((?:[^\"'\n]|(?<=[OD])'(?={_L})){{2,40}})[\"']")
+_FIELD = re.compile(rf"(?i:(?:first|last|given|family|sur|middle|fore)[_ ]?name)[\"']?\s*[:=]\s*[\"']((?:[^\"'\n]|(?<=[OD])'(?={_L})){{2,40}})[\"']")
 _PERSON_ROW = re.compile(r"(?i:insert into (\w+) values) ?\((?:\d+, )?'((?:[^'\n]|''){2,40})', '((?:[^'\n]|''){2,40})', '([^'\n]{5,20})'")
 _PERSON_FIELD = re.compile(rf"(?:{_WORD}|{_INITIAL}|[{_UPPER}]{_L}*''{_L}+|[ァ-ヶー・]+)(?:[ -](?:{_PARTICLE} )?(?:{_WORD}|[OD]''{_L}+))*|{_PARTICLE} {_WORD}")
 _CUE = re.compile(
@@ -132,7 +132,8 @@ def candidates(text: str) -> list[tuple[str, int, int, int, bool, list[str]]]:
     first: set[int] = set()  # where entities that reach a person begin and end
     last: set[int] = set()
 
-    if any(x in plain for x in _MAIL_MARKS) or _BRACKET_AT.search(plain):
+    folded = plain.lower()
+    if any(x in folded for x in _MAIL_MARKS) or _BRACKET_AT.search(plain):
         for line, end in _lines(_MAIL_HINT, plain):
             for m in _MAIL.finditer(plain, line, end):
                 a, b = m.span()
@@ -192,7 +193,7 @@ def candidates(text: str) -> list[tuple[str, int, int, int, bool, list[str]]]:
                 if _PERSON_FIELD.fullmatch(text, a, b) and not taken.over(a, b):
                     out.append(("name", a, b, SURE, True, [f"n:{p}" for p in _parts(text[a:b].replace("''", "'"))]))
                     taken.add(a, b)
-    if "name" in text or "Name" in text:
+    if "name" in folded:
         for m in _FIELD.finditer(text):
             a, b = m.span(1)
             if _PERSON_FIELD.fullmatch(text, a, b) and not taken.over(a, b):

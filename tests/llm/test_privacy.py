@@ -1,4 +1,4 @@
-from keystrata.llm.privacy import disclosure, find_candidates, find_personal, redact
+from keystrata.llm.privacy import candidates, disclosure, find_candidates, find_personal, redact
 
 TEXTS = [
     "# Author: Vela Morrin <vela.morrin@post.example.org>\n# Written by Tam O'Brask, 2019-02-01\n",
@@ -90,3 +90,10 @@ def test_long_texts_of_every_kind_take_linear_time():
     for part in parts:
         candidates(part * (60_000 // len(part)))
     assert time.process_time() - began < 20
+
+
+def test_forms_in_capitals_pass_the_prefilters():
+    text = "FIRST_NAME=\"Vela\"\nLAST_NAME: 'Morrin'\nfirstName: 'Tam'"
+    assert [text[c[1] : c[2]] for c in candidates(text) if c[0] == "name"] == ["Vela", "Morrin", "Tam"]
+    for mail in ("JOE AT HOST DOT COM", "joe&COMMAT;host.test"):
+        assert [(c[0], c[1], c[2]) for c in candidates(mail)] == [("email", 0, len(mail))]
