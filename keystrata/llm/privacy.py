@@ -55,6 +55,9 @@ _NAME = re.compile(
     rf"|{_WORD}, (?:{_WORD}|{_INITIAL})(?: {_INITIAL}){{0,3}}(?!\w|['’]\w))"
     r"|[ァ-ヶー]+(?:・[ァ-ヶー]+)+"
 )
+#: The pattern takes three initials in a row, for linear time; longer runs are taken by ``_whole``.
+_BEFORE = re.compile(rf"(?<![\w.’-])(?<!\w')(?!{_LEAD}\b)(?:{_WORD}|{_INITIAL}) ")
+_MORE_INITIALS = re.compile(rf"(?: {_INITIAL})+(?!\w|['’]\w)")
 _FIELD = re.compile(rf"(?i:(?:first|last|given|family|sur|middle|fore)[_ ]?name)[\"']?\s*[:=]\s*[\"']((?:[^\"'\n]|(?<=[OD])'(?={_L})){{2,40}})[\"']")
 _PERSON_ROW = re.compile(r"(?i:insert into (\w+) values) ?\((?:\d+, )?'((?:[^'\n]|''){2,40})', '((?:[^'\n]|''){2,40})', '([^'\n]{5,20})'")
 _PERSON_FIELD = re.compile(rf"(?:{_WORD}|{_INITIAL}|[{_UPPER}]{_L}*''{_L}+|[ァ-ヶー・]+)(?:[ -](?:{_PARTICLE} )?(?:{_WORD}|[OD]''{_L}+))*|{_PARTICLE} {_WORD}")
@@ -202,13 +205,13 @@ def candidates(text: str) -> list[tuple[str, int, int, int, bool, list[str]]]:
     for line, end in _lines(_CAPITAL, text) if "・" not in text else [(0, len(text))]:
         at = line
         while m := _NAME.search(text, at, end):
-            a, b = m.span()
+            a, b = _whole(text, *m.span(), at, end)
             at = b
             clash = taken.over(a, b)
             if clash:
                 at = max(a + 1, clash[1] if clash[0] <= a else a + 1)
                 continue
-            name = m.group()
+            name = text[a:b]
             parts = _parts(name)
             if not parts or any(p in _ORG for p in parts) or any(_camel(w) for w in name.split()):
                 at = _after_first(text, a, b)
@@ -216,7 +219,8 @@ def candidates(text: str) -> list[tuple[str, int, int, int, bool, list[str]]]:
             gap = next((i for i in range(1, 15) if b + i in first), 0)
             back = next((i for i in range(1, 15) if a - i in last), 0)
             beside = gap > 0 and "\n" not in text[b : b + gap] or back > 0 and "\n" not in text[a - back : a]
-            begin = max(text.rfind("\n", max(0, a - 48), a), a - 48, 0)
+            years = _before_years(text, line, a)
+            begin = max(text.rfind("\n", max(0, years - 48), a), years - 48, 0)
             cue = _CUE.search(text, begin, a) is not None
             if "," in name and not (beside or cue or text[a - 1 : a] in tuple("\"'[(*|;")):
                 # "Family, Given" only where something encloses it; otherwise look again from the second part
@@ -245,6 +249,27 @@ def _camel(word: str) -> bool:
     return bool(re.search(r"[a-z][A-Z]", word.replace("O'", "").replace("O’", "")))
 
 
+def _whole(text: str, a: int, b: int, low: int, high: int) -> tuple[int, int]:
+    """Bounds of a name with all of its initials, within ``[low, high)``."""
+    if text[a + 1 : a + 2] == ".":
+        while a - 3 >= low and text[a - 2 : a] == ". " and (m := _BEFORE.match(text, a - 3)) and m.end() == a:
+            a -= 3
+        # the word before the first initial belongs to it, as in a shorter run
+        begin = max(low, text.rfind(" ", max(low, a - 64), max(low, a - 1)) + 1)
+        a = next((p for p in range(begin, a - 1) if (m := _BEFORE.match(text, p)) and m.end() == a), a)
+    if text[b - 1] == "." and (m := _MORE_INITIALS.match(text, b, high)):
+        b = m.end()
+    return a, b
+
+
+def _before_years(text: str, low: int, at: int) -> int:
+    """Where a list of years that ends at ``at`` begins; ``at`` if there is none."""
+    i = at
+    while i > low and text[i - 1] in "0123456789-–, ":
+        i -= 1
+    return i if at - i > 4 else at
+
+
 def _after_first(text: str, a: int, b: int) -> int:
     """Where to look on after a sequence that is no name: behind its first word."""
     space = text.find(" ", a, b)

@@ -97,3 +97,17 @@ def test_forms_in_capitals_pass_the_prefilters():
     assert [text[c[1] : c[2]] for c in candidates(text) if c[0] == "name"] == ["Vela", "Morrin", "Tam"]
     for mail in ("JOE AT HOST DOT COM", "joe&COMMAT;host.test"):
         assert [(c[0], c[1], c[2]) for c in candidates(mail)] == [("email", 0, len(mail))]
+
+
+def test_long_runs_of_initials_and_years_are_taken_whole():
+    years = ", ".join(str(y) for y in range(1980, 2000))
+    for text, name, standing in (
+        ("by A. B. C. D. E. Smith", "A. B. C. D. E. Smith", 2),
+        ("by John A. B. C. D. E. F. Smith, 2", "John A. B. C. D. E. F. Smith", 2),
+        ('"Smith, Anna B. C. D. E. F."', "Smith, Anna B. C. D. E. F.", 2),
+        (f"# Copyright (c) {years} Vela Morrin", "Vela Morrin", 1),
+        (f"# {years} Vela Morrin", "Vela Morrin", 2),
+    ):
+        assert [(text[c[1] : c[2]], c[3]) for c in candidates(text) if c[0] == "name"] == [(name, standing)]
+    assert candidates("A. " * 20000) == []
+    assert len(candidates("A. " * 20000 + "Smith")) == 1
