@@ -22,8 +22,8 @@ from keystrata.sources.scratch import sent_if_small, written
 
 DATA_FOLDERS = ("wal", "compacted")
 CODE_BITS = 16
-#: Slots of the items of one code; sets how evenly a code is spread.
-SLOTS = 1024
+#: Slots of the items of one code: the most files that a code can be spread over.
+SLOTS = 1 << 31
 #: File boundaries sent to the tasks; more are joined.
 MAX_BOUNDARIES = 250_000
 #: Bytes that one task writes, and bytes that opening a file counts for in that.
@@ -83,24 +83,30 @@ def _assigned(items: DataFrame, group: list[str], axes: list[str], size: str, ta
     begins = F.ceil(F.col("__ks_before") / F.col("__ks_target"))
     ends = F.ceil((F.col("__ks_before") + F.col("__ks_bytes")) / F.col("__ks_target")) - 1
     starts = placed.filter(ends >= begins).withColumn("__ks_no", F.explode(F.sequence(begins, ends)))
-    at = F.col("curve_code") * SLOTS + F.ceil((F.col("__ks_no") * F.col("__ks_target") - F.col("__ks_before")) * SLOTS / F.col("__ks_bytes"))
-    starts = starts.select(F.to_json(F.struct(*group)).alias("g"), at.alias("at"))
+    at = F.ceil((F.col("__ks_no") * F.col("__ks_target") - F.col("__ks_before")) / F.col("__ks_bytes") * SLOTS)
+    starts = starts.select(F.to_json(F.struct(*group)).alias("g"), F.col("curve_code").alias("code"), at.alias("slot"))
     known = starts.limit(MAX_BOUNDARIES + 1).toPandas()
     if len(known) > MAX_BOUNDARIES:
         return _joined_targets(coded.withColumn("__ks_slot", slot), placed, group), placed
-    cuts = {g: np.sort(x.to_numpy(np.int64)) for g, x in known.groupby("g")["at"]}
+    cuts = {}
+    for g, x in known.groupby("g"):
+        codes, rank = np.unique(x["code"].to_numpy(np.int64), return_inverse=True)
+        cuts[g] = codes, np.sort(rank * 2 * SLOTS + x["slot"].to_numpy(np.int64))
     shared = items.sparkSession.sparkContext.broadcast(cuts)
 
     @F.pandas_udf("long")
-    def number(groups: pd.Series, places: pd.Series) -> pd.Series:
+    def number(groups: pd.Series, codes: pd.Series, slots: pd.Series) -> pd.Series:
         names, kinds = pd.factorize(groups)
-        out, where = np.empty(len(places), np.int64), places.to_numpy(np.int64)
+        out, code, slot = np.empty(len(codes), np.int64), codes.to_numpy(np.int64), slots.to_numpy(np.int64)
         for i, g in enumerate(kinds):
             of = names == i
-            out[of] = np.searchsorted(shared.value[g], where[of], side="right") - 1
+            begun, places = shared.value[g]
+            rank = np.searchsorted(begun, code[of])
+            own = begun[np.minimum(rank, len(begun) - 1)] == code[of]  # else the code is within one file
+            out[of] = np.searchsorted(places, rank * 2 * SLOTS + np.where(own, slot[of], -1), side="right") - 1
         return pd.Series(out)
 
-    return coded.withColumn("target_no", number(F.to_json(F.struct(*group)), F.col("curve_code") * SLOTS + slot)), placed
+    return coded.withColumn("target_no", number(F.to_json(F.struct(*group)), F.col("curve_code"), slot)), placed
 
 
 def _joined_targets(coded: DataFrame, placed: DataFrame, group: list[str]) -> DataFrame:
@@ -110,7 +116,7 @@ def _joined_targets(coded: DataFrame, placed: DataFrame, group: list[str]) -> Da
     on = F.col("curve_code") == F.col("__ks_code")
     for i, g in enumerate(group):
         on = on & F.col(g).eqNullSafe(F.col(f"__ks_g{i}"))
-    position = F.col("__ks_before") + F.floor(F.col("__ks_bytes") * F.col("__ks_slot") / SLOTS)
+    position = F.col("__ks_before") + F.floor(F.col("__ks_bytes") * (F.col("__ks_slot") / SLOTS))
     return coded.join(placed, on).select(*cols, "curve_code", F.floor(position / F.col("__ks_target")).alias("target_no"))
 
 

@@ -103,3 +103,11 @@ def test_every_target_is_a_file_of_its_own(spark, tmp_path):
     assert all(len({(r.g, r.target_no) for r in of}) == 1 and sum(r.size for r in of) < 2 * 200 for of in files.values())
     stretches = sorted((of[0].g or 0, min(r.curve_code for r in of), max(r.curve_code for r in of)) for of in files.values())
     assert all(a[0] != b[0] or a[2] <= b[1] for a, b in zip(stretches, stretches[1:]))
+
+
+@pytest.mark.parametrize("boundaries", [5000, 5])
+def test_one_code_fills_more_than_a_thousand_targets(spark, monkeypatch, boundaries):
+    monkeypatch.setattr(smallfiles, "MAX_BOUNDARIES", boundaries)
+    df = spark.range(60000).selectExpr("1 as g", "cast(null as int) as x", "7 as y", "10 as bytes", "200 as target", "id as row")
+    sizes = [r.b for r in assign_targets(df, ["g"], ["x", "y"], "bytes", "target", "row").groupBy("target_no").agg(F.sum("bytes").alias("b")).collect()]
+    assert sum(sizes) == 600000 and len(sizes) > 2900 and max(sizes) < 3 * 200
