@@ -88,3 +88,19 @@ def bit_is_set(data: Column, bit: Column) -> Column:
     """Whether a bit of a byte string is set, lowest bit of a byte first."""
     byte = F.conv(F.hex(F.substring(data, F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("bigint")
     return F.floor(byte / F.pow(F.lit(2.0), bit % 8)).cast("bigint") % 2 == 1
+
+
+def word_is_set(mask: Column, bit: Column) -> Column:
+    """Whether a bit is set in the 64-bit word that holds it."""
+    return mask.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(bit, F.lit(64)).cast("int"))) != 0
+
+
+def words_of(data: Column) -> Column:
+    """A byte string as an array of 64-bit words, lowest byte first; the last word is filled with zeros."""
+
+    @F.arrow_udf("array<bigint>")
+    def run(values: pa.Array) -> pa.Array:
+        out = [None if v is None else np.frombuffer(v + bytes(-len(v) % 8), np.int64) for v in values.to_pylist()]
+        return pa.array(out, pa.list_(pa.int64()))
+
+    return run(data)

@@ -8,10 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from keystrata.operators.ordering import with_previous
 
 PUT, TOMBSTONE = 0, 1
 MAX_KEY_BYTES = 65535
+#: Column that a log may carry beside its rows: the last durable WAL id. Reads consume it.
+DURABLE = "durable_wal_id"
 SCHEMA = "key binary, kind tinyint, value binary, seq bigint, wal_id bigint"
 
 
@@ -60,10 +63,12 @@ def entry_size() -> Column:
     return F.octet_length("key").cast("bigint") + 1 + F.coalesce(F.octet_length("value"), F.lit(0))
 
 
-def empty_as_tombstone(rows: DataFrame) -> DataFrame:
-    """What storing does to entries: a put of an empty value becomes a tombstone."""
+def empty_as_tombstone(rows: DataFrame, stored: Column | None = None) -> DataFrame:
+    """What storing does to entries: a put of an empty value becomes a tombstone; only where ``stored``, if given."""
     dead = (F.col("kind") == TOMBSTONE) | (F.coalesce(F.octet_length("value"), F.lit(0)) == 0)
-    return rows.withColumn("kind", F.when(dead, TOMBSTONE).otherwise(PUT).cast("tinyint")).withColumn("value", F.when(~dead, F.col("value")))
+    if stored is not None:
+        dead = F.when(stored, dead).otherwise(F.col("kind") == TOMBSTONE)
+    return rows.withColumn("__dead", dead).withColumn("kind", F.when(F.col("__dead"), TOMBSTONE).otherwise(PUT).cast("tinyint")).withColumn("value", F.when(~F.col("__dead"), F.col("value"))).drop("__dead")
 
 
 def latest(rows: DataFrame, by: list[str] | None = None, rank: list[str] | None = None) -> DataFrame:
@@ -83,6 +88,10 @@ def live(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("kind") == PUT)
 
 
-def history(rows: DataFrame) -> DataFrame:
-    """Every version with the seq from which it no longer holds (``until_seq``; null for the current one)."""
-    return rows.withColumn("until_seq", F.lead("seq").over(Window.partitionBy("key").orderBy("seq")))
+def history(rows: DataFrame, bits: int = 16) -> DataFrame:
+    """Every version with the seq from which it no longer holds (``until_seq``; null for the current one).
+
+    Solved in stretches of ``2**bits`` sequence numbers, so the versions of a hot key go to many tasks.
+    """
+    back = rows.withColumn("__back", -F.col("seq"))
+    return with_previous(back, ["key"], ["__back"], ["seq"], F.shiftright("__back", bits), "__next").withColumn("until_seq", F.col("__next.seq")).drop("__back", "__next")

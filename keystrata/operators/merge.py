@@ -1,19 +1,17 @@
-"""Merging sorted sources by key, and compaction built on it."""
+"""Merging sorted sources by key, and cutting what comes out into tables."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field, replace
 from functools import reduce
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.operators.entries import live
-
-LEVEL0_LIMIT = 4
-MAX_TABLE_BYTES = 1 << 30
+from keystrata.operators.ordering import key_stretch, with_running_total
 
 
 def merge(sources: list[DataFrame]) -> DataFrame:
@@ -22,114 +20,72 @@ def merge(sources: list[DataFrame]) -> DataFrame:
     return merge_numbered(reduce(DataFrame.unionByName, numbered))
 
 
-def merge_numbered(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """One row per key (and ``by``): the one with the smallest ``source``."""
+def merge_numbered(rows: DataFrame, by: list[str] | None = None, newest: str | None = None) -> DataFrame:
+    """One row per key (and ``by``): the one with the smallest ``source``.
+
+    A source may hold several versions of a key if ``newest`` names the column that orders them.
+    """
     keys = [*(by or []), "key"]
     rest = [c for c in rows.columns if c not in keys]
-    best = rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), "source").alias("__row"))
+    rank = F.struct("source", -F.col(newest)) if newest else F.col("source")
+    best = rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), rank).alias("__row"))
     return best.select(*keys, *[F.col(f"__row.{c}").alias(c) for c in rest]).select(*rows.columns)
 
 
+def group_starts(batch: pa.RecordBatch, group: list[str]) -> np.ndarray:
+    """Positions of a sorted batch at which a new group begins, 0 first."""
+    new = np.zeros(batch.num_rows, bool)
+    new[:1] = True
+    for g in group:
+        codes = pc.dictionary_encode(batch.column(g), null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        new[1:] |= np.diff(codes) != 0
+    return np.flatnonzero(new)
+
+
+def byte_lengths(column: pa.Array) -> np.ndarray:
+    """Length of every value, 0 for null."""
+    return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def roll(rows: DataFrame, group: list[str], limit: int) -> DataFrame:
     """Cut every sorted run into tables: a table ends after the row that takes its bytes over ``limit``.
 
-    Adds ``table_no`` from 0 per group. Bytes are those of key and value. The fold is sequential within
-    a run and parallel over runs; a task streams its runs in key order and keeps two counters.
+    Adds ``table_no`` from 0 per group. Bytes are those of key and value. Where a table ends depends on
+    where the one before ended, so a run is cut by one task, in one pass over sums of its batches: each
+    table is one search, no row is looked at by itself. For cutting one large run over many tasks see
+    ``cut_by_bytes``.
     """
-    columns = rows.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", table_no bigint"
     placed = rows.repartition(*group).sortWithinPartitions(*group, "key")
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run, number, size = None, 0, 0
         for batch in batches:
-            numbers = []
-            for of, key, value in zip(zip(*[batch[g] for g in group]), batch["key"], batch["value"]):
+            total = np.cumsum(byte_lengths(batch.column("key")) + byte_lengths(batch.column("value")))
+            numbers = np.empty(batch.num_rows, np.int64)
+            starts = group_starts(batch, group).tolist()
+            for a, b in zip(starts, [*starts[1:], batch.num_rows]):
+                of = tuple(batch.column(g)[a].as_py() for g in group)
                 if of != run:
                     run, number, size = of, 0, 0
-                size += len(key) + (len(value) if value is not None else 0)
-                numbers.append(number)
-                if size > limit:
-                    number, size = number + 1, 0
-            yield batch[columns].assign(table_no=numbers)
-
-    return placed.mapInPandas(cut, schema)
-
-
-def drop_tombstones(rows: DataFrame) -> DataFrame:
-    """Major compaction: once nothing older is left, tombstones hide nothing."""
-    return live(rows)
-
-
-@dataclass(frozen=True)
-class Compaction:
-    """A job: level-0 tables and runs to merge, newest first, and the run to make."""
-
-    level0: tuple[str, ...]
-    runs: tuple[int, ...]
-    destination: int
-
+                while a < b:
+                    past = int(total[a - 1]) if a else 0
+                    end = min(b, a + int(np.searchsorted(total[a:b], limit - size + past, side="right")) + 1)
+                    numbers[a:end] = number
+                    size += int(total[end - 1]) - past
+                    if size > limit:
+                        number, size = number + 1, 0
+                    a = end
+            yield batch.append_column("table_no", pa.array(numbers))
 
-@dataclass(frozen=True)
-class TableState:
-    """What a manifest version says: level-0 tables newest first, runs by descending id, counters."""
+    return placed.mapInArrow(cut, schema)
 
-    level0: tuple[str, ...] = ()
-    runs: tuple[tuple[int, tuple[str, ...]], ...] = ()
-    level0_last_compacted: str | None = None
-    next_wal_id: int = 1
-    last_compacted_wal_id: int = 0
-    busy: frozenset[int] = field(default_factory=frozenset)
 
+def cut_by_bytes(rows: DataFrame, size: str, limit: int) -> DataFrame:
+    """Add ``table_no``: tables of about ``limit`` bytes along the keys, by running totals over all tasks.
 
-class CompactionRefused(ValueError):
-    """The destination is being written, or exists and is not among the sources."""
-
-
-def schedule(state: TableState, limit: int = LEVEL0_LIMIT) -> list[Compaction]:
-    """Size-tiered: all level-0 tables into a new run as soon as there are ``limit`` of them."""
-    if len(state.level0) < limit:
-        return []
-    newest = state.runs[0][0] + 1 if state.runs else 0
-    return [Compaction(state.level0, (), newest)]
-
-
-def submit(state: TableState, job: Compaction) -> TableState:
-    if job.destination in state.busy:
-        raise CompactionRefused(f"run {job.destination} is being compacted")
-    if any(r == job.destination for r, _ in state.runs) and job.destination not in job.runs:
-        raise CompactionRefused(f"run {job.destination} exists and is no source")
-    return replace(state, busy=state.busy | {job.destination})
-
-
-def finish(state: TableState, job: Compaction, tables: tuple[str, ...]) -> TableState:
-    """The state after a job: its sources are gone, its run stands in descending order of ids."""
-    runs = sorted([r for r in state.runs if r[0] not in job.runs and r[0] != job.destination] + [(job.destination, tables)], reverse=True)
-    last = job.level0[0] if job.level0 else state.level0_last_compacted
-    return replace(state, level0=tuple(t for t in state.level0 if t not in job.level0), runs=tuple(runs), level0_last_compacted=last, busy=state.busy - {job.destination})
-
-
-def refresh_compactor(own: TableState, writer: TableState) -> TableState:
-    """The compactor's view after the writer moved on: its level 0 down to the last compacted table."""
-    kept = []
-    for t in writer.level0:
-        if t == own.level0_last_compacted:
-            break
-        kept.append(t)
-    return replace(own, level0=tuple(kept), next_wal_id=writer.next_wal_id, last_compacted_wal_id=writer.last_compacted_wal_id)
-
-
-def refresh_writer(own: TableState, compactor: TableState) -> TableState:
-    """The writer's view after the compactor moved on: its own level 0 cut there, the compactor's runs."""
-    kept = []
-    for t in own.level0:
-        if t == compactor.level0_last_compacted:
-            break
-        kept.append(t)
-    return replace(own, level0=tuple(kept), runs=compactor.runs, level0_last_compacted=compactor.level0_last_compacted)
-
-
-def in_order(state: TableState) -> bool:
-    """Run ids strictly decrease."""
-    ids = [r for r, _ in state.runs]
-    return all(a > b for a, b in zip(ids, ids[1:]))
+    ``key`` is unique. A table holds the rows that begin within its ``limit`` bytes, so it exceeds them by
+    less than its last row. Nothing is sequential but a summary of stretches of keys.
+    """
+    total = with_running_total(rows, [], "key", size, key_stretch(rows, "key")(F.col("key")), "__before")
+    return total.withColumn("table_no", F.floor(F.col("__before") / limit).cast("bigint")).drop("__before")

@@ -11,9 +11,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from keystrata.functions.keys import common_prefix
+
 _B, _C = "__bucket", "__carry"
 
 
+def key_stretch(rows: DataFrame, key: str):
+    """A function from a byte key to the number of its stretch, for the keys that occur in ``rows``.
+
+    The stretch is the three bytes behind what the least and the greatest key share, so it does not
+    decrease along the keys, fits whatever the keys begin with, and there are at most ``2**24`` of them.
+    Both ends come from one aggregate inside the plan.
+    """
+    ends = rows.agg(F.min(key).alias("a"), F.max(key).alias("z")).select(F.coalesce(common_prefix(F.col("a"), F.col("z")), F.lit(0)).cast("int").alias("n"))
+    shared = ends.scalar()
+    return lambda k: F.conv(F.hex(F.call_function("rpad", F.substring(k, shared + 1, F.lit(3)), F.lit(3), F.lit(b"\x00"))), 16, 10).cast("bigint")
 
 
 def week(ts: Column) -> Column:
@@ -95,3 +107,19 @@ def with_running_total(df: DataFrame, keys: list[str], order: str, size: str, bu
     for i, c in enumerate(keys):
         on = on & F.col(c).eqNullSafe(F.col(f"__k_{i}"))
     return inner.join(sums, on).select(*cols, (F.col(out) + F.col(_C)).alias(out))
+
+
+def with_running_max(df: DataFrame, keys: list[str], order: str, values: list[str], bucket: Column, out: list[str]) -> DataFrame:
+    """Add, for each of ``values``, its greatest over the rows of a key up to and with this one in ``order``."""
+    cols = df.columns
+    d = df.withColumn(_B, bucket)
+    upto = Window.partitionBy(*keys, _B).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    inner = d.select("*", *[F.max(v).over(upto).alias(o) for v, o in zip(values, out)])
+    earlier = Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
+    tops = d.groupBy(*keys, _B).agg(*[F.max(v).alias(f"__m_{i}") for i, v in enumerate(values)])
+    tops = tops.select("*", *[F.max(f"__m_{i}").over(earlier).alias(f"__c_{i}") for i in range(len(values))])
+    tops = tops.select(*[F.col(c).alias(f"__k_{i}") for i, c in enumerate(keys)], F.col(_B).alias("__b2"), *[f"__c_{i}" for i in range(len(values))])
+    on = F.col(_B).eqNullSafe(F.col("__b2"))
+    for i, c in enumerate(keys):
+        on = on & F.col(c).eqNullSafe(F.col(f"__k_{i}"))
+    return inner.join(tops, on, "left").select(*cols, *[F.greatest(o, f"__c_{i}").alias(o) for i, o in enumerate(out)])

@@ -5,16 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.operators.entries import latest, live
+from keystrata.operators.entries import DURABLE, latest, live
 
 COMMITTED, UNCOMMITTED = "committed", "uncommitted"
 
 
 def at_level(log: DataFrame, level: str = COMMITTED, flushed: int | Column | None = None) -> DataFrame:
-    """Rows visible at a read level: committed reads see WAL ids up to the last flushed one."""
+    """Rows visible at a read level: committed reads see WAL ids up to the last flushed one.
+
+    That id is given or stands in the log's own column ``durable_wal_id``.
+    """
     if level not in (COMMITTED, UNCOMMITTED):
         raise ValueError(f"unknown read level {level}")
-    return log if level == UNCOMMITTED or flushed is None else log.filter(F.col("wal_id") <= flushed)
+    if flushed is None and DURABLE in log.columns:
+        flushed = F.col(DURABLE)
+    rows = log if level == UNCOMMITTED or flushed is None else log.filter(F.col("wal_id") <= flushed)
+    return rows.drop(DURABLE)
 
 
 def get_all(log: DataFrame, level: str = COMMITTED, flushed: int | Column | None = None) -> DataFrame:

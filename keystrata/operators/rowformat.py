@@ -5,18 +5,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keystrata.functions.codecs import big_endian, checksum_holds, compressed, decompressed, number_at, signed_at, with_checksum
+from keystrata.functions.keys import common_prefix
+from keystrata.operators.entries import encoded_value
+from keystrata.operators.merge import byte_lengths, group_starts
 
 FLAG_TOMBSTONE, FLAG_EXPIRES, FLAG_CREATED = 1, 2, 4
 #: Bytes of a stored row besides key, times and value: two lengths, sequence number, flags.
 ROW_BYTES = 2 + 2 + 8 + 1
 TIME_BYTES, LENGTH_BYTES, OFFSET_BYTES, COUNT_BYTES, CHECKSUM_BYTES = 8, 4, 2, 2, 4
-#: Codec names and the Parquet codecs that stand for them.
-PARQUET_CODECS = {"none": "none", "snappy": "snappy", "zlib": "gzip", "lz4": "lz4raw", "zstd": "zstd"}
 
 
 def flags(tombstone: Column, expire_at: Column, created_at: Column) -> Column:
@@ -36,14 +39,6 @@ def block_estimate(row_bytes: Column) -> Column:
     return (F.coalesce(F.sum(row_bytes + OFFSET_BYTES), F.lit(0)) + COUNT_BYTES + CHECKSUM_BYTES).cast("bigint")
 
 
-def common_prefix(a: Column, b: Column) -> Column:
-    """Number of leading bytes two byte strings share, by halving: log2 many comparisons of slices."""
-    shorter = F.least(F.octet_length(a), F.octet_length(b))
-
-    grow = F.aggregate(F.array(*[F.lit(1 << i) for i in range(15, -1, -1)]), F.lit(0), lambda n, step: F.when((n + step <= shorter) & (F.substring(a, n + 1, step) == F.substring(b, n + 1, step)), n + step).otherwise(n))
-    return F.when(a.isNotNull() & b.isNotNull(), grow).cast("bigint")
-
-
 def restore_key(first_key: Column, prefix_bytes: Column, suffix: Column) -> Column:
     """Full key of a row from its block's first key."""
     return F.concat(F.substring(first_key, F.lit(1), prefix_bytes.cast("int")), suffix)
@@ -61,41 +56,67 @@ def ordered_keys(df: DataFrame, index: str, suffix: bytes, low: int, high: int,
     return df.withColumn("key", F.concat(F.unhex(reduce(lambda x, y: F.concat(x, y), digits)), F.lit(suffix)))
 
 
+def shared_bytes(first: bytes, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Leading bytes that each of some keys, given by place and length in ``data``, shares with ``first``."""
+    width = min(len(first), int(lengths.max()) if len(lengths) else 0)
+    if not width:
+        return np.zeros(len(starts), np.int64)
+    steps = np.arange(width)
+    inside = steps < lengths[:, None]
+    same = inside & (data[np.where(inside, starts[:, None] + steps, 0)] == np.frombuffer(first[:width], np.uint8))
+    return np.where(same.all(1), width, same.argmin(1)).astype(np.int64)
+
+
 def place_in_blocks(rows: DataFrame, group: list[str], block_size: int) -> DataFrame:
     """Add ``block_no``, ``first_key`` of the block and ``prefix_bytes`` shared with it to every row.
 
     Rows (``key, kind, value`` and others) go to a block in key order until the next one would take it
-    over ``block_size``; a block holds at least one row. The fold is sequential within a table and
-    parallel over tables; a task streams its tables.
+    over ``block_size``; a block holds at least one row. Where a block ends depends on where the one
+    before ended, so a table, which compaction bounds by its bytes, is one task's; each block is one step
+    over arrays of the rows it could hold.
     """
-    columns = rows.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", block_no bigint, first_key binary, prefix_bytes bigint"
     placed = rows.repartition(*group).sortWithinPartitions(*group, "key")
+    window = block_size // (ROW_BYTES + OFFSET_BYTES) + 1  # no block holds more rows
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, number, first, count, size = None, 0, b"", 0, 0
         for batch in batches:
-            numbers, firsts, prefixes = [], [], []
-            for now, key, kind, value in zip(zip(*[batch[g] for g in group]), batch["key"], batch["kind"], batch["value"]):
+            keys = batch.column("key").cast(pa.large_binary())
+            ends = np.frombuffer(keys.buffers()[1], np.int64)[keys.offset : keys.offset + len(keys) + 1]
+            data = np.frombuffer(keys.buffers()[2] or b"\x00", np.uint8)
+            begin, length = ends[:-1], np.diff(ends)
+            dead = pc.equal(batch.column("kind"), 1).to_numpy(zero_copy_only=False).astype(bool)
+            whole = ROW_BYTES + length + np.where(dead, 0, LENGTH_BYTES + byte_lengths(batch.column("value")))
+            n = batch.num_rows
+            numbers, prefixes, firsts = np.empty(n, np.int64), np.empty(n, np.int64), []
+            starts = group_starts(batch, group).tolist()
+            for a, b in zip(starts, [*starts[1:], n]):
+                now = tuple(batch.column(g)[a].as_py() for g in group)
                 if now != of:
-                    of, number, count = now, 0, 0
-                shared = 0
-                if count:
-                    limit = min(len(first), len(key))
-                    while shared < limit and first[shared] == key[shared]:
-                        shared += 1
-                whole = ROW_BYTES + len(key) + (0 if kind == 1 else LENGTH_BYTES + (len(value) if value is not None else 0))
-                if count and COUNT_BYTES + (count + 1) * OFFSET_BYTES + size + whole - shared > block_size:
-                    number, count = number + 1, 0
-                if not count:
-                    first, size, shared = key, 0, 0
-                count, size = count + 1, size + whole - shared
-                numbers.append(number)
-                firsts.append(first)
-                prefixes.append(shared)
-            yield batch[columns].assign(block_no=numbers, first_key=firsts, prefix_bytes=prefixes)
-
-    return placed.mapInPandas(fold, schema)
+                    of, number, count, size = now, 0, 0, 0
+                while a < b:
+                    opening, z = not count, min(b, a + window)
+                    if opening:
+                        first, size = data[begin[a] : ends[a + 1]].tobytes(), 0
+                    shared = shared_bytes(first, data, begin[a:z], length[a:z])
+                    if opening:
+                        shared[0] = 0
+                    held = size + np.cumsum(whole[a:z] - shared)
+                    over = COUNT_BYTES + (count + 1 + np.arange(z - a)) * OFFSET_BYTES + held > block_size
+                    over[0] &= not opening
+                    stop = int(over.argmax()) if over.any() else z - a
+                    numbers[a : a + stop], prefixes[a : a + stop] = number, shared[:stop]
+                    firsts += [first] * stop
+                    if stop == z - a:
+                        count, size = count + stop, int(held[-1])
+                    else:
+                        number, count = number + 1, 0
+                    a += stop
+            out = batch.append_column("block_no", pa.array(numbers)).append_column("first_key", pa.array(firsts, pa.binary()))
+            yield out.append_column("prefix_bytes", pa.array(prefixes))
+
+    return placed.mapInArrow(fold, schema)
 
 
 def cut_blocks(rows: DataFrame, group: list[str], block_size: int) -> DataFrame:
@@ -200,12 +221,27 @@ def merged_warnings(*parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).distinct()
 
 
-def encoded_filter(num_probes: Column, data: Column) -> Column:
-    """A filter in its stored form: number of probes, bits, checksum."""
-    return with_checksum(F.concat(big_endian(num_probes, 2), data))
+def encoded_filter(num_probes: Column, data: Column, codec: str = "none") -> Column:
+    """A filter in its stored form: number of probes, bits (compressed), checksum."""
+    body = F.concat(big_endian(num_probes, 2), data)
+    return with_checksum(body if codec == "none" else compressed(body, F.lit(codec)))
 
 
-def decoded_filter(stored: Column) -> Column:
+def decoded_filter(stored: Column, codec: str = "none") -> Column:
     """Struct ``num_probes, data`` of a stored filter; null if the checksum fails."""
     size = F.octet_length(stored)
-    return F.when(checksum_holds(stored), F.struct(number_at(stored, F.lit(0), 2).alias("num_probes"), F.substring(stored, F.lit(3), size - 6).alias("data")))
+    body = F.when(checksum_holds(stored), F.substring(stored, F.lit(1), size - 4))
+    body = body if codec == "none" else decompressed(body, F.lit(codec))
+    return F.when(body.isNotNull(), F.struct(number_at(body, F.lit(0), 2).alias("num_probes"), F.substring(body, F.lit(3), F.octet_length(body) - 2).alias("data")))
+
+
+def table_bytes(rows: DataFrame, group: list[str]) -> DataFrame:
+    """``group, table``: the stored values of a small table of entries one behind the other in key order.
+
+    Every entry is its key length and value length in four bytes each, the key, the stored value. Meant
+    for tables of literal entries and for dumps: a table's bytes meet in one row.
+    """
+    stored = encoded_value()
+    entry = F.concat(big_endian(F.octet_length("key"), 4), big_endian(F.octet_length(stored), 4), F.col("key"), stored)
+    lists = rows.select(*group, F.struct("key", entry.alias("e")).alias("r")).groupBy(*group).agg(F.array_sort(F.collect_list("r")).alias("r"))
+    return lists.select(*group, F.aggregate(F.transform("r", lambda r: r["e"]), F.lit(b""), lambda a, e: F.concat(a, e)).alias("table"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from keystrata.plans import pipeline_queries, table_queries
+from keystrata.plans import pipeline_queries, store_queries, table_queries
 
-QUERIES = {**table_queries.QUERIES, **pipeline_queries.QUERIES}
-ORACLE = {**table_queries.ORACLE, **pipeline_queries.ORACLE}
+QUERIES = {**table_queries.QUERIES, **store_queries.QUERIES, **pipeline_queries.QUERIES}
+ORACLE = {**table_queries.ORACLE, **store_queries.ORACLE, **pipeline_queries.ORACLE}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keystrata.operators.entries import DURABLE
 from keystrata.operators.layers import number_wals, place
 from keystrata.sources.tables import table
 
@@ -16,26 +17,22 @@ def user_key(user: Column) -> Column:
     return F.concat(F.lit("u"), F.lpad(user.cast("string"), 20, "0")).cast("binary")
 
 
-def change_log(spark: SparkSession, d: str) -> DataFrame:
+def change_log(spark: SparkSession, d: str, durable: bool = False) -> DataFrame:
     """``key, kind, value, seq, wal_id``: errors delete, sign-ups put an empty value, the rest puts ``props``.
 
-    Every hour with events is one WAL.
+    Every hour with events is one WAL. With ``durable`` the last durable WAL id stands beside every row.
     """
-    events = number_wals(table(spark, d, "events").withColumn("tick", F.date_trunc("hour", "ts")), "tick")
+    hour = F.datediff(F.col("ts").cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint") * 24 + F.hour("ts")
+    events = number_wals(table(spark, d, "events").withColumn("tick", hour), "tick")
     error = F.col("event_type") == "error"
     value = F.when(error, None).when(F.col("event_type") == "signup", "").otherwise(F.col("props")).cast("binary")
-    return events.select(user_key(F.col("user_id")).alias("key"), error.cast("int").cast("tinyint").alias("kind"), value.alias("value"), F.col("event_id").alias("seq"), "wal_id")
-
-
-def flushed(spark: SparkSession, d: str) -> Column:
-    """The last WAL id that is durable, as a scalar subquery: ids have no gaps, so counting ticks is enough."""
-    ticks = table(spark, d, "events").select(F.date_trunc("hour", "ts").alias("t")).filter("t is not null").distinct()
-    return ticks.agg(F.count("*") - UNFLUSHED).scalar()
+    more = [(F.col("last_wal_id") - UNFLUSHED).alias(DURABLE)] if durable else []
+    return events.select(user_key(F.col("user_id")).alias("key"), error.cast("int").cast("tinyint").alias("kind"), value.alias("value"), F.col("event_id").alias("seq"), "wal_id", *more)
 
 
 def placed_log(spark: SparkSession, d: str) -> DataFrame:
     """The change log with layer and unit of every row."""
-    return place(change_log(spark, d), PER_LEVEL0, LEVEL0_PER_RUN, flushed(spark, d))
+    return place(change_log(spark, d, durable=True), PER_LEVEL0, LEVEL0_PER_RUN, F.col(DURABLE)).drop(DURABLE)
 
 
 #: The same in SQL: tables t, log(seq, k, kind, v, wal), b(f), p(log columns, layer, unit).

@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from keystrata.functions import codecs
-from keystrata.functions.hashes import bit_is_set, fnv1_halves, fnv1_hex, probe_bits, probe_bits_n
+from keystrata.functions.hashes import fnv1_halves, fnv1_hex, probe_bits, probe_bits_n, word_is_set, words_of
 from keystrata.functions.paths import clean_path, clean_segments, extension
-from keystrata.operators import entries, layers, merge, prune, read, rowformat
-from keystrata.operators.ordering import with_running_total
-from keystrata.plans.changelog import LOG_SQL, change_log, flushed, placed_log, user_key
-from keystrata.sources.scratch import written
+from keystrata.operators import compaction, entries, layers, merge, prune, read, rowformat
+from keystrata.operators.ordering import key_stretch, with_running_max, with_running_total
+from keystrata.plans.changelog import LOG_SQL, PER_LEVEL0, change_log, placed_log, user_key
 from keystrata.sources.tables import table
 
 QUERIES: dict = {}
@@ -44,8 +42,8 @@ def long(name: str):
 
 @query(LOG_SQL + "SELECT k AS key, v AS value, seq FROM committed WHERE kind = 0")
 def get_committed_all(spark: SparkSession, d: str) -> DataFrame:
-    log = change_log(spark, d)
-    return read.get_all(log, read.COMMITTED, flushed(spark, d)).select(text("key"), text("value"), "seq")
+    log = change_log(spark, d, durable=True)
+    return read.get_all(log, read.COMMITTED).select(text("key"), text("value"), "seq")
 
 
 @query(LOG_SQL + "SELECT k AS key, v AS value, seq FROM uncommitted WHERE kind = 0")
@@ -56,8 +54,8 @@ def get_uncommitted_all(spark: SparkSession, d: str) -> DataFrame:
 @query(LOG_SQL + """SELECT coalesce(c.k, u.k) AS key, c.seq AS committed_seq, u.seq AS uncommitted_seq FROM
 (SELECT * FROM committed WHERE kind = 0) c FULL JOIN (SELECT * FROM uncommitted WHERE kind = 0) u ON c.k = u.k WHERE c.seq IS DISTINCT FROM u.seq""")
 def read_level_diff(spark: SparkSession, d: str) -> DataFrame:
-    log = change_log(spark, d)
-    c = read.get_all(log, read.COMMITTED, flushed(spark, d)).select("key", F.col("seq").alias("committed_seq"))
+    log = change_log(spark, d, durable=True)
+    c = read.get_all(log, read.COMMITTED).select("key", F.col("seq").alias("committed_seq"))
     u = read.get_all(log, read.UNCOMMITTED).select("key", F.col("seq").alias("uncommitted_seq"))
     return c.join(u, "key", "full").filter(~F.col("committed_seq").eqNullSafe(F.col("uncommitted_seq"))).select(text("key"), "committed_seq", "uncommitted_seq")
 
@@ -65,21 +63,21 @@ def read_level_diff(spark: SparkSession, d: str) -> DataFrame:
 @query(LOG_SQL + """SELECT w.k AS key, c.k IS NOT NULL AS found, c.v AS value FROM
 (SELECT DISTINCT concat('u', lpad(CAST(c_custkey AS VARCHAR), 20, '0')) AS k FROM customer) w LEFT JOIN (SELECT * FROM committed WHERE kind = 0) c ON w.k = c.k""")
 def multi_get(spark: SparkSession, d: str) -> DataFrame:
-    log = change_log(spark, d)
+    log = change_log(spark, d, durable=True)
     wanted = table(spark, d, "customer").select(user_key(F.col("c_custkey")).alias("key"))
-    return read.multi_get(log, wanted, read.COMMITTED, flushed(spark, d)).select(text("key"), "found", text("value"))
+    return read.multi_get(log, wanted, read.COMMITTED).select(text("key"), "found", text("value"))
 
 
 @query(LOG_SQL + "SELECT k AS key, v AS value, seq FROM committed WHERE kind = 0 AND k = 'u00000000000000000007'")
 def point_get(spark: SparkSession, d: str) -> DataFrame:
-    log = change_log(spark, d)
-    return read.get(log, b"u00000000000000000007", read.COMMITTED, flushed(spark, d)).select(text("key"), text("value"), "seq")
+    log = change_log(spark, d, durable=True)
+    return read.get(log, b"u00000000000000000007", read.COMMITTED).select(text("key"), text("value"), "seq")
 
 
 @query(LOG_SQL + "SELECT k AS key, seq FROM committed WHERE kind = 1")
 def deleted_keys(spark: SparkSession, d: str) -> DataFrame:
-    log = change_log(spark, d)
-    return read.deleted_keys(log, read.COMMITTED, flushed(spark, d)).select(text("key"), "seq")
+    log = change_log(spark, d, durable=True)
+    return read.deleted_keys(log, read.COMMITTED).select(text("key"), "seq")
 
 
 @query(LOG_SQL + "SELECT k AS key, seq FROM log l WHERE kind = 1 AND NOT EXISTS (SELECT 1 FROM log o WHERE o.k = l.k AND o.kind = 0 AND o.seq < l.seq)")
@@ -109,22 +107,22 @@ def key_history(spark: SparkSession, d: str) -> DataFrame:
 
 @query(LOG_SQL + "SELECT k AS key, v AS value FROM committed WHERE kind = 0 AND k >= 'u00000000000000000040' AND k < 'u00000000000000000090'")
 def range_scan(spark: SparkSession, d: str) -> DataFrame:
-    log = change_log(spark, d)
-    return read.scan(log, b"u00000000000000000040", b"u00000000000000000090", read.COMMITTED, flushed(spark, d)).select(text("key"), text("value"))
+    log = change_log(spark, d, durable=True)
+    return read.scan(log, b"u00000000000000000040", b"u00000000000000000090", read.COMMITTED).select(text("key"), text("value"))
 
 
 @query(LOG_SQL + "SELECT k AS key, v AS value FROM committed WHERE kind = 0 AND starts_with(k, 'u0000000000000000001')")
 def prefix_scan(spark: SparkSession, d: str) -> DataFrame:
-    log = change_log(spark, d)
-    return read.scan_prefix(log, b"u0000000000000000001", read.COMMITTED, flushed(spark, d)).select(text("key"), text("value"))
+    log = change_log(spark, d, durable=True)
+    return read.scan_prefix(log, b"u0000000000000000001", read.COMMITTED).select(text("key"), text("value"))
 
 
 @query(LOG_SQL + "SELECT k AS key, CAST(kind AS BIGINT) AS kind, row_number() OVER (ORDER BY k) AS position FROM committed")
 def ordered_scan(spark: SparkSession, d: str) -> DataFrame:
     """All keys in byte order, tombstones included, with their position: counted per key range, then summed."""
-    log = change_log(spark, d)
-    rows = entries.latest(read.at_level(log, read.COMMITTED, flushed(spark, d)))
-    numbered = with_running_total(rows.withColumn("one", F.lit(1)), [], "key", "one", F.substring("key", 1, 19), "before")
+    log = change_log(spark, d, durable=True)
+    rows = entries.latest(read.at_level(log, read.COMMITTED))
+    numbered = with_running_total(rows.withColumn("one", F.lit(1)), [], "key", "one", key_stretch(log, "key")(F.col("key")), "before")
     return numbered.select(text("key"), long("kind"), (F.col("before") + 1).cast("bigint").alias("position"))
 
 
@@ -165,9 +163,9 @@ def memtable_range_from(spark: SparkSession, d: str) -> DataFrame:
 SELECT k AS key, CAST(kind AS BIGINT) AS kind, v AS value, seq, wal AS wal_id FROM r WHERE rn = 1""")
 def wal_replay(spark: SparkSession, d: str) -> DataFrame:
     """Memory after recovery: the log above the last compacted WAL id."""
-    placed = placed_log(spark, d)
-    compacted = placed.filter(F.col("layer") <= layers.LEVEL0).agg(F.max("wal_id")).scalar()
-    return entries.latest(change_log(spark, d).filter(F.col("wal_id") > compacted)).select(text("key"), long("kind"), text("value"), "seq", "wal_id")
+    log = change_log(spark, d, durable=True)
+    memory = layers.replay(log, layers.last_compacted(F.col(entries.DURABLE), PER_LEVEL0))
+    return memory.select(text("key"), long("kind"), text("value"), "seq", "wal_id")
 
 
 @query()
@@ -215,7 +213,7 @@ def l0_may_include(spark: SparkSession, d: str) -> DataFrame:
     marks = marks.unionByName(meta.select(F.col("first_key").alias("key"), F.lit(0).alias("n"), F.lit(0).alias("turn"), "layer", "unit", F.lit("first").alias("what")))
     marks = marks.unionByName(meta.select(F.col("last_key").alias("key"), F.lit(0).alias("n"), F.lit(2).alias("turn"), "layer", "unit", F.lit("last").alias("what")))
     marks = marks.withColumn("at", F.struct("key", "turn", "layer", "unit", "what"))
-    counted = with_running_total(marks, [], "at", "n", F.substring("key", 1, 19), "before")
+    counted = with_running_total(marks, [], "at", "n", key_stretch(marks, "key")(F.col("key")), "before")
     total = wanted.agg(F.count("*")).scalar()
     per = counted.filter("what <> 'key'").groupBy("layer", "unit").agg(F.max(F.when(F.col("what") == "first", F.col("before"))).alias("below"), F.max(F.when(F.col("what") == "last", F.col("before"))).alias("upto"))
     return per.select("layer", "unit", (total - F.col("below")).cast("bigint").alias("by_first_key"), (F.col("upto") - F.col("below")).cast("bigint").alias("by_range"))
@@ -227,9 +225,9 @@ merged AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY s
 
 
 def _four_sources(spark: SparkSession, d: str) -> DataFrame:
-    placed = placed_log(spark, d)
-    per_layer = [entries.latest(placed.filter(F.col("layer") == n)).select("key", "value", "seq") for n in (layers.LOG, layers.MEMORY, layers.LEVEL0, layers.RUN)]
-    return merge.merge(per_layer)
+    """Log, memory, level 0 and runs as sources 0 to 3, newest first, merged in one pass over the log."""
+    rows = placed_log(spark, d).select("key", "value", "seq", (layers.LOG - F.col("layer")).alias("source"))
+    return merge.merge_numbered(rows, newest="seq")
 
 
 @query(_SOURCES + "SELECT k AS key, v AS value, CAST(source AS BIGINT) AS source, seq FROM merged")
@@ -242,8 +240,8 @@ def merge_precedence(spark: SparkSession, d: str) -> DataFrame:
 def merge_sorted_position(spark: SparkSession, d: str) -> DataFrame:
     """Place of every winner in the key order of its source."""
     merged = _four_sources(spark, d)
-    place = F.row_number().over(Window.partitionBy("source").orderBy("key")).cast("bigint")
-    return merged.select("source", "key", place.alias("position")).select("source", text("key"), "position")
+    placed = with_running_total(merged.withColumn("one", F.lit(1)), ["source"], "key", "one", key_stretch(change_log(spark, d), "key")(F.col("key")), "before")
+    return placed.select("source", text("key"), (F.col("before") + 1).cast("bigint").alias("position"))
 
 
 @query(LOG_SQL + "SELECT unit AS run_id, k AS key, CAST(kind AS BIGINT) AS kind, v AS value, seq FROM stored WHERE layer = 0")
@@ -259,9 +257,9 @@ def compact_l0_to_sr(spark: SparkSession, d: str) -> DataFrame:
 SELECT CAST(l0 // 4 AS BIGINT) AS run_id, count(*) AS tables, count(*) = 4 AS scheduled FROM l GROUP BY l0 // 4""")
 def compaction_schedule(spark: SparkSession, d: str) -> DataFrame:
     """Level-0 tables by the run they go to; a run is scheduled once it has four."""
-    log = change_log(spark, d)
-    l0 = log.select(F.floor((F.col("wal_id") - 1) / 24).alias("l0")).filter(F.col("l0") < F.floor(flushed(spark, d) / 24)).distinct()
-    return l0.groupBy(F.floor(F.col("l0") / 4).alias("run_id")).agg(F.count("*").alias("tables")).withColumn("scheduled", F.col("tables") == merge.LEVEL0_LIMIT)
+    log = change_log(spark, d, durable=True)
+    l0 = log.select(F.floor((F.col("wal_id") - 1) / PER_LEVEL0).alias("l0"), F.floor(F.col(entries.DURABLE) / PER_LEVEL0).alias("upto")).filter("l0 < upto").select("l0").distinct()
+    return l0.groupBy(F.floor(F.col("l0") / 4).alias("run_id")).agg(F.count("*").alias("tables")).withColumn("scheduled", F.col("tables") == compaction.LEVEL0_LIMIT)
 
 
 _LAYERED = LOG_SQL + """, all_rows AS (SELECT layer, unit, k, seq, kind, v FROM stored UNION ALL SELECT layer, unit, k, seq, kind, v FROM p WHERE layer = 2),
@@ -283,11 +281,9 @@ def layer_hit_histogram(spark: SparkSession, d: str) -> DataFrame:
 @query(_LAYERED + "SELECT k AS key, v AS value, seq FROM won WHERE kind = 0")
 def state_after_compaction(spark: SparkSession, d: str) -> DataFrame:
     """Live rows when runs, level 0 and memory are merged as separate tables: the same as before compaction."""
-    placed = placed_log(spark, d)
-    runs = layers.flush(placed.filter(F.col("layer") == layers.RUN), ["layer", "unit"])
-    level0 = layers.flush(placed.filter(F.col("layer") == layers.LEVEL0), ["layer", "unit"])
-    memory = placed.filter(F.col("layer") == layers.MEMORY)
-    every = runs.unionByName(level0).unionByName(memory)
+    placed = placed_log(spark, d).filter(F.col("layer") < layers.LOG)
+    tables = entries.latest(placed.withColumn("unit", F.when(F.col("layer") == layers.MEMORY, 0).otherwise(F.col("unit"))), ["layer", "unit"])
+    every = entries.empty_as_tombstone(tables, F.col("layer") <= layers.LEVEL0)
     return entries.live(entries.latest(every, rank=["layer", "unit", "seq"])).select(text("key"), text("value"), "seq")
 
 
@@ -323,11 +319,9 @@ def block_for_key(spark: SparkSession, d: str) -> DataFrame:
 
 def _lookup(spark: SparkSession, d: str, clamp: bool) -> DataFrame:
     runs = layers.flush(placed_log(spark, d).filter(F.col("layer") == layers.RUN), ["layer", "unit"])
-    tables = written(merge.roll(runs, ["unit"], 1024).groupBy("unit", "table_no").agg(F.min("key").alias("first_key")), "table-index")
-    # every run is asked for every wanted key: the run ids are put on each key as a list
-    ids = tables.agg(F.collect_set("unit")).scalar()
-    wanted = table(spark, d, "customer").select(user_key(F.col("c_custkey")).alias("key")).distinct().withColumn("ids", ids).select("key", F.explode("ids").alias("unit"))
-    return prune.table_for_key(wanted, tables, ["unit"], "table_no", clamp, lambda key: F.substring(key, 1, 19)).select(F.col("unit").alias("run_id"), text("key"), "table_no")
+    tables = merge.roll(runs.select("layer", "unit", "key", "value"), ["unit"], 1024).groupBy("unit", "table_no").agg(F.min("key").alias("first_key"))
+    wanted = table(spark, d, "customer").select(user_key(F.col("c_custkey")).alias("key")).distinct()
+    return prune.table_in_each(wanted, tables, "unit", "table_no", clamp).select(F.col("unit").alias("run_id"), text("key"), "table_no")
 
 
 _FNV = "list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(range(1, strlen({k}) + 1), lambda i: ascii(substr({k}, i, 1))::UHUGEINT)), lambda a, x: xor((a * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT, x))"
@@ -358,7 +352,7 @@ SELECT a.grp, CAST(max(bits) AS BIGINT) AS bits, count(*) FILTER (present AND NO
 def bloom_false_positive(spark: SparkSession, d: str) -> DataFrame:
     """Filters over the order keys of each priority, probed with all of them and with as many absent keys."""
     keys = table(spark, d, "orders").select(F.col("o_orderpriority").alias("grp"), F.col("o_orderkey").cast("string").alias("k"))
-    filters = prune.build_filters(keys.select("grp", F.col("k").cast("binary").alias("key")), ["grp"])
+    filters = prune.filter_words(keys.select("grp", F.col("k").cast("binary").alias("key")), ["grp"])
     asked = keys.select("grp", F.col("k").cast("binary").alias("key")).unionByName(keys.select("grp", F.concat("k", F.lit("#")).cast("binary").alias("key")))
     answers = prune.probe_filters(asked, filters, ["grp"]).withColumn("present", ~F.col("key").cast("string").endswith("#"))
     sizes = filters.groupBy("grp").agg(F.max("bits").alias("bits"))
@@ -376,11 +370,10 @@ def stored_filter_probe(spark: SparkSession, d: str) -> DataFrame:
     filters = table(spark, d, "sst_filter").filter("octet_length(data) > 0 and num_probes > 0").dropDuplicates(["sst_id"])
     spans = filters.select("sst_id", "store_id", F.explode(F.sequence("first_wal_id", "last_wal_id")).alias("wal_id"))
     keys = table(spark, d, "row_entry").filter("octet_length(key) > 0").select("store_id", "wal_id", "key").distinct()
-    hashed = keys.join(spans, ["store_id", "wal_id"]).select("sst_id", "key").distinct().withColumn("h", fnv1_halves(F.col("key")))
-    asked = hashed.join(filters.select("sst_id", "data", "num_probes"), "sst_id")
-    bits = probe_bits_n(F.col("h"), (F.octet_length("data") * 8).cast("bigint"), F.col("num_probes"))
-    maybe = F.forall(bits, lambda bit: bit_is_set(F.col("data"), bit))
-    return asked.select("sst_id", maybe.alias("maybe")).groupBy("sst_id").agg(F.count("*").alias("keys"), F.sum(F.when(F.col("maybe"), 0).otherwise(1)).cast("bigint").alias("missed"))
+    asked = keys.join(spans, ["store_id", "wal_id"]).select("sst_id", "key").distinct().withColumn("h", fnv1_halves(F.col("key")))
+    held = filters.select("sst_id", "num_probes", (F.octet_length("data") * 8).cast("bigint").alias("bits"), words_of(F.col("data")).alias("words"))
+    probes = asked.join(held, "sst_id").select("sst_id", F.forall(probe_bits_n(F.col("h"), F.col("bits"), F.col("num_probes")), lambda bit: word_is_set(F.element_at("words", (F.shiftright(bit, 6) + 1).cast("int")), bit)).alias("maybe"))
+    return probes.groupBy("sst_id").agg(F.count("*").alias("keys"), F.sum(F.when(F.col("maybe"), 0).otherwise(1)).cast("bigint").alias("missed"))
 
 
 # format
@@ -505,8 +498,8 @@ SELECT store_id, manifest_id, mw > writer_epoch AS writer_fenced, mc > compactor
 def epoch_fence(spark: SparkSession, d: str) -> DataFrame:
     """Whether a manifest was written by a holder that a later epoch had already fenced."""
     c = _manifests(spark, d).select("store_id", "manifest_id", "writer_epoch", "compactor_epoch").distinct()
-    so_far = Window.partitionBy("store_id").orderBy("manifest_id").rowsBetween(Window.unboundedPreceding, 0)
-    return c.select("store_id", "manifest_id", (F.max("writer_epoch").over(so_far) > F.col("writer_epoch")).alias("writer_fenced"), (F.max("compactor_epoch").over(so_far) > F.col("compactor_epoch")).alias("compactor_fenced"))
+    so_far = with_running_max(c, ["store_id"], "manifest_id", ["writer_epoch", "compactor_epoch"], F.floor(F.col("manifest_id") / 4096), ["w", "c"])
+    return so_far.select("store_id", "manifest_id", (F.col("w") > F.col("writer_epoch")).alias("writer_fenced"), (F.col("c") > F.col("compactor_epoch")).alias("compactor_fenced"))
 
 
 @query(f"""SELECT DISTINCT store_id, manifest_id, 'L0' AS layer, CAST(NULL AS BIGINT) AS run_id, unnest(l0).sst_id AS sst_id FROM ({_COUNTED})

@@ -2,22 +2,31 @@
 
 from __future__ import annotations
 
-import time
 import uuid
+from collections.abc import Iterator
 from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import replace
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keystrata.functions.hashes import fnv1
+from keystrata.operators.compaction import LEVEL0_LIMIT, Manifest, TableFile, everything
 from keystrata.operators.entries import SCHEMA, checked, empty_as_tombstone, entry_size, latest, live
-from keystrata.operators.layers import table_meta
-from keystrata.operators.merge import LEVEL0_LIMIT
+from keystrata.operators.layers import replay
+from keystrata.operators.prune import may_include
 from keystrata.operators.read import COMMITTED, UNCOMMITTED, prefix_end
-from keystrata.sources.manifest import FencedManifest, Manifest, ManifestStore, TableFile, describe
+from keystrata.sources.compactor import Compactor
+from keystrata.sources.manifest import Fenced, FencedManifest, ManifestStore, describe
+from keystrata.sources.scratch import SENT_BYTES, delete
+from keystrata.sources.tables import TABLE_BYTES, TableStore
 
-_PARQUET = {"parquet.bloom.filter.enabled#key": "true"}
+#: Wanted keys up to which tables are skipped by their filters before a read.
+PROBED_KEYS = 10_000
+_CHANGES = "key binary, kind tinyint, value binary, seq bigint"
 
 
 class KeyedTable:
@@ -25,15 +34,21 @@ class KeyedTable:
 
     A batch written is durable and visible to committed reads once its manifest version exists; a batch
     only buffered is visible to uncommitted reads. Each read pins the manifest of its moment.
+
+    Data is always written to folders of its own that no reader knows; creating the next manifest, which
+    only the holder of the latest epoch can, makes it part of the table. A writer that is fenced or dies
+    before that leaves nothing but such a folder.
     """
 
-    def __init__(self, spark: SparkSession, root: str, codec: str = "snappy", level0_bytes: int = 64 << 20, rows_per_file: int = 5_000_000):
+    def __init__(self, spark: SparkSession, root: str, codec: str = "snappy", level0_bytes: int = 64 << 20, table_bytes: int = TABLE_BYTES, min_filter_keys: int = 0):
         self.spark, self.root = spark, root.rstrip("/")
-        self.codec, self.level0_bytes, self.rows_per_file = codec, level0_bytes, rows_per_file
+        self.codec, self.level0_bytes = codec, level0_bytes
+        self.tables = TableStore(spark, self.root, codec, table_bytes, min_filter_keys)
         self.manifests = ManifestStore(spark, self.root)
         self.held = FencedManifest(self.manifests, "writer")
         self._buffer: list[DataFrame] = []
         self._pool: ThreadPoolExecutor | None = None
+        self._compactor: Compactor | None = None
 
     # writing
 
@@ -43,17 +58,28 @@ class KeyedTable:
         An empty batch makes no WAL. A ``batch`` number of a ``source`` that is not above the last one
         applied is skipped, so a batch delivered again after a failure changes nothing.
         """
-        manifest = self.held.refresh()
-        if source is not None and batch is not None and dict(manifest.batches).get(source, -1) >= batch:
+        marked = source is not None and batch is not None
+        applied = lambda m: marked and dict(m.batches).get(source, -1) >= batch
+        if applied(self.held.refresh()):
             return None
-        wal_id = manifest.next_wal_id
         rows = checked(changes.select("key", F.col("kind").cast("tinyint").alias("kind"), "value", F.col("seq").cast("bigint").alias("seq")))
-        folder = f"{self.root}/wal/{wal_id:020d}"
-        rows.withColumn("wal_id", F.lit(wal_id).cast("bigint")).write.mode("overwrite").option("compression", self.codec).parquet(folder)
-        empty = self.spark.read.schema(SCHEMA).parquet(folder).isEmpty()
-        marks = lambda m: tuple(sorted({**dict(m.batches), source: batch}.items())) if source is not None and batch is not None else m.batches
-        self.held.update(lambda m: replace(m, next_wal_id=m.next_wal_id + (not empty), batches=marks(m)))
-        return None if empty else wal_id
+        name = uuid.uuid4().hex
+        folder = f"{self.root}/wal/{name}"
+        rows.write.option("compression", self.codec).parquet(folder)
+        empty = self.spark.read.schema(_CHANGES).parquet(folder).isEmpty()
+
+        def committed(m: Manifest) -> Manifest:
+            if applied(m):
+                return m
+            marks = tuple(sorted({**dict(m.batches), source: batch}.items())) if marked else m.batches
+            return replace(m, batches=marks) if empty else replace(m, batches=marks, next_wal_id=m.next_wal_id + 1, wals=(*m.wals, (m.next_wal_id, name)))
+
+        try:
+            after = self.held.update(committed)
+        except Fenced:
+            delete(self.spark, folder)
+            raise
+        return {n: i for i, n in after.wals}.get(name)
 
     def write_async(self, changes: DataFrame) -> Future:
         """``write`` without waiting: the result is done once the batch is durable. Batches keep their order."""
@@ -72,86 +98,114 @@ class KeyedTable:
         pending, self._buffer = reduce(DataFrame.unionByName, self._buffer), []
         return self.write(pending)
 
+    def log(self, manifest: Manifest | None = None) -> DataFrame:
+        """Rows of the WALs a manifest names, with their ids."""
+        m = manifest or self.held.refresh()
+        if not m.wals:
+            return self.spark.createDataFrame([], SCHEMA)
+        ids = F.create_map(*[F.lit(x) for i, name in m.wals for x in (name, i)])
+        rows = self.spark.read.schema(_CHANGES).parquet(*[f"{self.root}/wal/{name}" for _, name in m.wals])
+        name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+        return rows.withColumn("wal_id", F.element_at(ids, name).cast("bigint"))
+
     def memory(self, manifest: Manifest | None = None) -> DataFrame:
-        """Rows of WALs not yet in level 0. After a restart this is the recovery of memory."""
+        """Last row per key of the WALs not yet in level 0. After a restart this is the recovery of memory."""
         m = manifest or self.held.refresh()
-        ids = range(m.last_compacted_wal_id + 1, m.next_wal_id)
-        return self._read([f"{self.root}/wal/{i:020d}" for i in ids])
+        return replay(self.log(m), m.last_compacted_wal_id)
+
+    def flush_memory(self, force: bool = True) -> tuple[TableFile, ...]:
+        """Write memory to level-0 tables; without ``force`` only if it has reached the size limit.
 
-    def flush_memory(self, force: bool = True) -> TableFile | None:
-        """Write memory to a level-0 table; without ``force`` only if it has reached the size limit."""
+        Usually that is one table; beyond ``table_bytes`` there are several, whose keys do not overlap.
+        """
         m = self.held.refresh()
         upto = m.next_wal_id - 1
         if upto <= m.last_compacted_wal_id:
-            return None
-        rows = empty_as_tombstone(latest(self.memory(m)))
+            return ()
+        rows = empty_as_tombstone(self.memory(m))
         if not force and (rows.agg(F.sum(entry_size())).first()[0] or 0) < self.level0_bytes:
-            return None
-        made = self._store(rows)
-        self.held.update(lambda x: replace(x, level0=((made,) if made else ()) + x.level0, last_compacted_wal_id=upto))
-        return made
+            return ()
+        made = self.tables.write(rows)
 
-    # compaction
+        def done(x: Manifest) -> Manifest:
+            if x.last_compacted_wal_id != m.last_compacted_wal_id:  # someone else flushed these WALs
+                return x
+            return replace(x, level0=made + x.level0, last_compacted_wal_id=upto, wals=tuple(w for w in x.wals if w[0] > upto))
 
-    def compact(self, limit: int = LEVEL0_LIMIT, force: bool = False) -> int | None:
-        """Merge all level-0 tables into a new run once there are ``limit`` of them; tombstones stay."""
-        m = self.held.refresh()
-        if not m.level0 or len(m.level0) < limit and not force:
-            return None
-        sources = m.level0
-        run = m.runs[0][0] + 1 if m.runs else 0
-        made = self._store(self._merged([f.table_id for f in sources]))
-        gone = {f.table_id for f in sources}
+        after = self.held.update(done)
+        return made if after.level0[: len(made)] == made else ()
 
-        def done(x: Manifest) -> Manifest:
-            return replace(x, level0=tuple(f for f in x.level0 if f.table_id not in gone), level0_last_compacted=sources[0].table_id, runs=((run, (made,) if made else ()),) + x.runs)
+    # compaction
+
+    def compactor(self, limit: int = LEVEL0_LIMIT) -> Compactor:
+        """The compactor that runs beside this writer; opened on first use, which fences any other."""
+        if self._compactor is None:
+            self._compactor = Compactor(self.spark, self.root, self.tables, limit)
+        self._compactor.limit = limit
+        return self._compactor
 
-        self.held.update(done)
-        return run
+    def compact(self, limit: int = LEVEL0_LIMIT) -> int | None:
+        """Run what compaction is due; the id of the run made, None if nothing was."""
+        return next(iter(self.compactor(limit).run_once()), None)
 
     def major_compact(self) -> int | None:
         """Merge everything stored into one run and drop tombstones, which then hide nothing."""
-        m = self.held.refresh()
-        tables = [f.table_id for f in m.level0] + [f.table_id for _, fs in m.runs for f in fs]
-        if not tables:
-            return None
-        run = m.runs[0][0] + 1 if m.runs else 0
-        made = self._store(live(self._merged(tables)))
-        gone = set(tables)
-        kept = lambda x: tuple((r, tuple(f for f in fs if f.table_id not in gone)) for r, fs in x.runs)
-        self.held.update(lambda x: replace(x, level0=tuple(f for f in x.level0 if f.table_id not in gone), level0_last_compacted=m.level0[0].table_id if m.level0 else x.level0_last_compacted, runs=((run, (made,) if made else ()),) + tuple(r for r in kept(x) if r[1])))
-        return run
+        job = everything(self.held.refresh())
+        return None if job is None else self.compactor().run(job)
 
     # reading
 
-    def rows(self, level: str = COMMITTED, version: int | None = None, low: bytes | None = None, high: bytes | None = None, keys: DataFrame | None = None) -> DataFrame:
+    def rows(self, level: str = COMMITTED, version: int | None = None, low: bytes | None = None, high: bytes | None = None, key: bytes | None = None, keys: DataFrame | None = None) -> DataFrame:
         """Winning row per key, tombstones included; ``version`` reads an earlier manifest.
 
-        ``keys`` (column ``key``) reduces every layer by a semi-join before winners are picked.
-
         ``low`` and ``high`` (exclusive) leave out stored tables by their key range before any is opened;
-        what is opened is filtered on the stored key, so pages are skipped as well.
+        what is opened is filtered on the stored key, so pages are skipped as well. ``key`` asks for one
+        key: tables are left out by range and filter, and the equality reaches the scan, where row groups
+        are skipped by theirs. ``keys`` (column ``key``) reduces every layer by a semi-join before winners
+        are picked; up to ``PROBED_KEYS`` of them are first put to the tables' ranges and filters.
         """
         m = self.manifests.read(version) if version is not None else self.held.refresh()
-        within = lambda f: (low is None or f.last_key >= low.hex().upper()) and (high is None or f.first_key < high.hex().upper())
-        layers = [(3, 0, self.memory(m))]
-        layers += [(2, -i, self._table(f.table_id)) for i, f in enumerate(m.level0) if within(f)]
-        layers += [(1, r, self._table(f.table_id)) for r, fs in m.runs for f in fs if within(f)]
+        wanted = None if key is None else [key]
+        if keys is not None:
+            keys = keys.select("key").distinct()
+            first = keys.filter("key is not null").limit(PROBED_KEYS + 1).collect()
+            wanted = [bytes(r[0]) for r in first] if len(first) <= PROBED_KEYS else None
+        within = self._within(wanted, low, high)
+        every = [self.memory(m).withColumn("layer", F.lit(3)).withColumn("unit", F.lit(0))]
+        for i, f in enumerate(m.level0):
+            if within(f):
+                every.append(self.tables.read([f.table_id]).withColumn("layer", F.lit(2)).withColumn("unit", F.lit(-i)))
+        for r, fs in m.runs:
+            if some := [f.table_id for f in fs if within(f)]:
+                every.append(self.tables.read(some).withColumn("layer", F.lit(1)).withColumn("unit", F.lit(r)))
         if level == UNCOMMITTED:
-            layers += [(4, i, b.withColumn("wal_id", F.lit(m.next_wal_id).cast("bigint"))) for i, b in enumerate(self._buffer)]
-        every = reduce(DataFrame.unionByName, [df.select("key", "kind", "value", "seq", "wal_id", F.lit(a).alias("layer"), F.lit(b).alias("unit")) for a, b, df in layers])
+            every += [b.withColumn("wal_id", F.lit(m.next_wal_id).cast("bigint")).withColumn("layer", F.lit(4)).withColumn("unit", F.lit(i)) for i, b in enumerate(self._buffer)]
+        rows = reduce(DataFrame.unionByName, every)
+        if key is not None:
+            rows = rows.filter(F.col("key") == F.lit(key))
         if low is not None:
-            every = every.filter(F.col("key") >= F.lit(low))
+            rows = rows.filter(F.col("key") >= F.lit(low))
         if high is not None:
-            every = every.filter(F.col("key") < F.lit(high))
+            rows = rows.filter(F.col("key") < F.lit(high))
         if keys is not None:
-            every = every.join(keys.select("key"), "key", "left_semi")
-        return latest(every, rank=["layer", "unit", "seq"]).select("key", "kind", "value", "seq", "wal_id")
+            rows = rows.join(keys, "key", "left_semi")
+        return latest(rows, rank=["layer", "unit", "seq"]).select("key", "kind", "value", "seq", "wal_id")
+
+    def _within(self, wanted: list[bytes] | None, low: bytes | None, high: bytes | None):
+        """A test whether a stored table may hold what a read asks for."""
+        hashes = None if wanted is None else fnv1(pa.array(wanted, pa.binary())).view(np.int64)
+
+        def test(f: TableFile) -> bool:
+            if low is not None and bytes.fromhex(f.last_key) < low or high is not None and bytes.fromhex(f.first_key) >= high:
+                return False
+            return wanted is None or bool(self.tables.may_include(f, wanted, hashes).any())
+
+        return test
 
     def get(self, key: bytes, level: str = COMMITTED) -> bytes | None:
         """Value of a key, or None."""
-        found = live(self.rows(level, low=key, high=key + b"\x00")).select("value").first()
-        return None if found is None else bytes(found[0])
+        found = live(self.rows(level, key=key)).select("value").first()
+        return None if found is None else bytes(found[0] or b"")
 
     def multi_get(self, keys: DataFrame, level: str = COMMITTED) -> DataFrame:
         """``key, found, value`` per distinct key."""
@@ -166,6 +220,39 @@ class KeyedTable:
     def scan_prefix(self, prefix: bytes, level: str = COMMITTED) -> DataFrame:
         return self.scan(prefix, prefix_end(prefix), level)
 
+    def skips(self, keys: DataFrame) -> DataFrame:
+        """``key, tables, by_range, by_filter`` per distinct key: stored tables, and those a lookup leaves out.
+
+        Ranges and filters go to the tasks that hold the keys, as many tables at a time as fit.
+        """
+        m = self.held.refresh()
+        files = [*m.level0, *[f for _, fs in m.runs for f in fs]]
+        wanted, parts, batch, held = keys.select("key").filter("key is not null").distinct(), [], [], 0
+        for f in files:
+            kept = self.tables.filter(f.table_id)
+            if batch and held + len(kept[1] if kept else b"") > SENT_BYTES:
+                parts, batch, held = [*parts, batch], [], 0
+            batch.append((bytes.fromhex(f.first_key), bytes.fromhex(f.last_key), kept))
+            held += len(kept[1]) if kept else 0
+        every = [self._skipped(wanted, b) for b in [*parts, batch]]
+        return reduce(DataFrame.unionByName, every).groupBy("key").agg(*[F.sum(c).alias(c) for c in ("tables", "by_range", "by_filter")])
+
+    def _skipped(self, keys: DataFrame, tables: list) -> DataFrame:
+        shared = self.spark.sparkContext.broadcast(tables)
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                hashes, names = fnv1(batch.column(0)).view(np.int64), batch.column(0).to_pylist()
+                outside, unset = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
+                for low, high, kept in shared.value:
+                    inside = np.array([low <= k <= high for k in names], bool)
+                    outside += ~inside
+                    if kept is not None:
+                        unset += inside & ~may_include(kept[1], kept[0], hashes)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(names), len(shared.value))), pa.array(outside), pa.array(unset)], ["key", "tables", "by_range", "by_filter"])
+
+        return keys.mapInArrow(count, "key binary, tables bigint, by_range bigint, by_filter bigint")
+
     def dump(self) -> DataFrame:
         """The current manifest as rows."""
         return describe(self.spark, self.held.refresh())
@@ -176,23 +263,6 @@ class KeyedTable:
             self._pool.shutdown(wait=True)
             self._pool = None
         self.flush_log()
-
-    # stored tables
-
-    def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema(SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMA)
-
-    def _table(self, table_id: str) -> DataFrame:
-        return self._read([f"{self.root}/compacted/{table_id}"])
-
-    def _merged(self, newest_first: list[str]) -> DataFrame:
-        every = reduce(DataFrame.unionByName, [self._table(t).withColumn("source", F.lit(-i)) for i, t in enumerate(newest_first)])
-        return latest(every, rank=["source", "seq"]).drop("source")
-
-    def _store(self, rows: DataFrame) -> TableFile | None:
-        table_id = f"{int(time.time() * 1000):013d}{uuid.uuid4().hex[:13]}"
-        path = f"{self.root}/compacted/{table_id}"
-        out = rows.select("key", "kind", "value", "seq", "wal_id").repartitionByRange("key").sortWithinPartitions("key")
-        out.write.option("compression", self.codec).option("maxRecordsPerFile", self.rows_per_file).options(**_PARQUET).parquet(path)
-        m = table_meta(self._table(table_id).withColumn("t", F.lit(1)), ["t"]).first()
-        return None if m is None else TableFile(table_id, bytes(m.first_key).hex().upper(), bytes(m.last_key).hex().upper(), m.num_rows, m.num_tombstones, m.bytes)
+        if self._compactor is not None:
+            self._compactor.stop()
+            self._compactor = None

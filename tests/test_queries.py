@@ -5,9 +5,10 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as contract
+from keystrata.plans import catalogue
 
 DATA = Path("/root/testdata/sf0.001")
-QUERIES, ORACLE = contract.queries(), contract.oracle_sql()
+QUERIES, ORACLE = catalogue.QUERIES, catalogue.ORACLE
 
 
 @pytest.fixture(scope="module")
@@ -40,4 +41,26 @@ def test_entry_has_rows(spark):
 
 
 def test_every_sql_has_a_query():
-    assert set(ORACLE) <= set(QUERIES)
+    assert set(contract.oracle_sql()) <= set(contract.queries()) and set(ORACLE) <= set(QUERIES)
+
+
+def test_the_optional_subpackage_may_fail_to_import(monkeypatch):
+    import sys
+
+    monkeypatch.setitem(sys.modules, "keystrata.llm", None)
+    assert set(contract.queries()) == set(QUERIES) and set(contract.oracle_sql()) == set(ORACLE)
+
+
+def test_reading_the_change_log_starts_no_job_before_its_sink(spark):
+    if not DATA.exists():
+        pytest.skip("no test tables here")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "")
+    try:
+        for name in ("get_committed_all", "multi_get", "ordered_scan", "wal_dedupe", "l0_flush", "merge_precedence", "compact_l0_to_sr", "layered_get", "state_after_compaction", "space_amplification"):
+            QUERIES[name](spark, str(DATA))
+        jobs = list(tracker.getJobIdsForGroup("building"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    # the only jobs are those that read the schema of a table's file
+    assert not [j for j in jobs if (info := tracker.getJobInfo(j)) and any((st := tracker.getStageInfo(s)) and st.numTasks > 1 for s in info.stageIds)]

@@ -1,11 +1,13 @@
 import random
 
 import pytest
-from keystrata.operators import entries, layers, merge, prune, read, rowformat
-from keystrata.sources.manifest import Fenced, FencedManifest, Manifest, ManifestStore
+from keystrata.operators import compaction, entries, layers, merge, prune, read, rowformat
+from keystrata.operators.compaction import Manifest
+from keystrata.sources.compactor import Compactor
+from keystrata.sources.manifest import Fenced, FencedManifest, ManifestStore
 from keystrata.sources.objects import AlreadyExists, ObjectFolder
 from keystrata.sources.store import KeyedTable
-from keystrata.streaming.ingest import ingest
+from keystrata.streaming.ingest import Maintenance, ingest
 from pyspark.sql import functions as F
 
 CHANGES = "key binary, kind tinyint, value binary, seq bigint"
@@ -54,9 +56,27 @@ def test_invalid_changes_fail(spark):
 
 
 def test_merge_takes_the_first_source(spark):
-    make = lambda rows: spark.createDataFrame(rows, "key string, value string")
-    out = merge.merge([make([("aaaa", "1111"), ("cccc", "use this one c")]), make([("cccc", "bad"), ("xxxx", "use this one x")]), make([("bbbb", "2222"), ("cccc", "bad"), ("xxxx", "bad")])])
-    assert sorted((r.key, r.value) for r in out.collect()) == [("aaaa", "1111"), ("bbbb", "2222"), ("cccc", "use this one c"), ("xxxx", "use this one x")]
+    rng = random.Random(5)
+    sources = [{f"k{rng.randrange(40):02d}": f"{n}-{i}" for i in range(25)} for n in range(4)]
+    want = {}
+    for source in reversed(sources):
+        want.update(source)
+    out = merge.merge([spark.createDataFrame(list(x.items()), "key string, value string") for x in sources])
+    assert {r.key: r.value for r in out.collect()} == want
+    versions = spark.createDataFrame([("a", 1, 0, 5), ("a", 2, 0, 7), ("a", 3, 1, 9), ("b", 4, 1, 1)], "key string, value int, source int, seq int")
+    assert sorted((r.key, r.value) for r in merge.merge_numbered(versions, newest="seq").collect()) == [("a", 2), ("b", 4)]
+
+
+def test_cut_by_bytes_is_close_to_the_limit_and_in_key_order(spark):
+    rng = random.Random(8)
+    rows = [(b"p" * 30 + f"{i:05d}".encode(), rng.randrange(1, 40)) for i in rng.sample(range(90000), 3000)]
+    out = merge.cut_by_bytes(spark.createDataFrame(rows, "key binary, size int").repartition(7), "size", 500).collect()
+    tables = {}
+    for r in sorted(out, key=lambda r: bytes(r.key)):
+        tables.setdefault(r.table_no, []).append(r.size)
+    assert len(out) == 3000 and list(tables) == list(range(len(tables)))
+    assert all(sum(t) < 540 for t in tables.values()) and all(sum(t) > 460 for t in list(tables.values())[:-1])
+    assert merge.cut_by_bytes(spark.createDataFrame([], "key binary, size int"), "size", 500).count() == 0
 
 
 def test_roll_ends_a_table_after_the_row_over_the_limit(spark):
@@ -79,45 +99,71 @@ def test_freeze_by_size_counts_net_bytes(spark):
     out = [tuple(r) for r in layers.freeze_by_size(rows, 12).orderBy("wal_id").collect()]
     assert out == [(1, 10, False), (2, 3, False), (3, 13, True), (4, 2, False)]
     assert layers.freeze_by_size(rows.limit(0), 12).count() == 0
+    rng = random.Random(3)
+    many = [(bytes([97 + rng.randrange(6)]), 0, b"x" * rng.randrange(1, 9), i, 1 + i // 3) for i in range(300)]
+    want, held = [], {}
+    for w in range(1, 101):
+        held.update({k: len(k) + 1 + len(v) for k, _, v, _, x in many if x == w})
+        total = sum(held.values())
+        want.append((w, total, total >= 30))
+        if total >= 30:
+            held = {}
+    assert [tuple(r) for r in layers.freeze_by_size(log(spark, many), 30).orderBy("wal_id").collect()] == want
 
 
 def test_compaction_state():
-    s = merge.TableState(level0=("d", "c", "b", "a"), next_wal_id=9)
-    (job,) = merge.schedule(s)
-    assert job == merge.Compaction(("d", "c", "b", "a"), (), 0)
-    busy = merge.submit(s, job)
-    with pytest.raises(merge.CompactionRefused):
-        merge.submit(busy, job)
-    writer = merge.TableState(level0=("e", "d", "c", "b", "a"), next_wal_id=12, last_compacted_wal_id=11)
-    done = merge.finish(busy, job, ("r0",))
-    assert done.runs == ((0, ("r0",)),) and done.level0 == () and done.level0_last_compacted == "d"
-    assert merge.refresh_compactor(done, writer).level0 == ("e",)
-    assert merge.refresh_writer(writer, done).level0 == ("e",) and merge.refresh_writer(writer, done).runs == done.runs
-    with pytest.raises(merge.CompactionRefused):
-        merge.submit(done, merge.Compaction(("e",), (), 0))
-    mixed = merge.finish(done, merge.Compaction(("e",), (0,), 0), ("r1",))
-    assert mixed.runs == ((0, ("r1",)),) and merge.in_order(mixed)
-    assert merge.schedule(merge.TableState(level0=("a", "b", "c"))) == []
+    file = lambda n: compaction.TableFile(n, "61", "62", 1, 0, 9)
+    tables = lambda names: tuple(file(n) for n in names)
+    s = compaction.Manifest(level0=tables("dcba"), next_wal_id=9)
+    (job,) = compaction.schedule(s)
+    assert job == compaction.Compaction(("d", "c", "b", "a"), (), 0)
+    busy = compaction.submit(s, job)
+    assert compaction.schedule(s, busy) == []
+    with pytest.raises(compaction.CompactionRefused):
+        compaction.submit(s, job, busy)
+    moved = compaction.Manifest(level0=tables("edcba"), next_wal_id=12, last_compacted_wal_id=11)
+    done = compaction.finish(moved, job, (file("r0"),))
+    assert done.runs == ((0, (file("r0"),)),) and done.level0 == tables("e") and done.level0_last_compacted == "d" and done.last_compacted_wal_id == 11
+    with pytest.raises(compaction.CompactionRefused):
+        compaction.finish(done, job, (file("r1"),))  # its sources are gone
+    with pytest.raises(compaction.CompactionRefused):
+        compaction.submit(done, compaction.Compaction(("e",), (), 0))
+    mixed = compaction.finish(done, compaction.Compaction(("e",), (0,), 0), (file("r1"),))
+    assert mixed.runs == ((0, (file("r1"),)),) and compaction.in_order(mixed.runs)
+    assert compaction.schedule(compaction.Manifest(level0=tables("abc"))) == []
+    assert compaction.finish(mixed, compaction.everything(mixed), ()).runs == () and compaction.everything(compaction.Manifest()) is None
 
 
 # pruning and format
 
 
 def test_table_lookup(spark):
-    tables = spark.createDataFrame([(1, 0, b"c"), (1, 1, b"m"), (1, 2, b"t"), (2, 0, None)], "g int, t int, first_key binary")
-    keys = spark.createDataFrame([(g, k) for g in (1, 2) for k in (b"a", b"c", b"l", b"m", b"z", b"z")], "g int, key binary")
+    tables = spark.createDataFrame([(1, 0, b"c"), (1, 1, b"m"), (1, 2, b"t\x00"), (2, 0, None), (3, 5, b"m")], "g int, t int, first_key binary")
+    keys = spark.createDataFrame([(g, k) for g in (1, 2) for k in (b"a", b"c", b"l", b"m", b"t", b"z", b"z")], "g int, key binary")
     at = lambda clamp: [(bytes(r.key), r.t) for r in prune.table_for_key(keys, tables, ["g"], "t", clamp).filter("g = 1").orderBy("key").collect()]
-    assert at(False) == [(b"a", None), (b"c", 0), (b"l", 0), (b"m", 1), (b"z", 2), (b"z", 2)]
+    assert at(False) == [(b"a", None), (b"c", 0), (b"l", 0), (b"m", 1), (b"t", 1), (b"z", 2), (b"z", 2)]
     assert at(True)[0] == (b"a", 0)
+    for clamp in (False, True):
+        for size in (1 << 20, 0):  # searched in the tasks, and sorted together
+            out = prune.table_in_each(keys.filter("g = 1"), tables, "g", "t", clamp, size)
+            assert sorted(((r.g, bytes(r.key), r.t) for r in out.collect()), key=repr) == sorted([(1, *x) for x in at(clamp)] + [(3, bytes(r.key), 5 if bytes(r.key) >= b"m" or clamp else None) for r in keys.filter("g = 1").collect()], key=repr)
 
 
 def test_filters_have_no_wrong_no(spark):
     df = spark.range(3000).select((F.col("id") % 3).alias("g"), F.col("id").cast("string").cast("binary").alias("key"))
-    filters = prune.build_filters(df, ["g"])
+    filters = prune.filter_words(df, ["g"])
     assert prune.probe_filters(df, filters, ["g"]).filter("not maybe").count() == 0
     other = df.select("g", F.concat("key", F.lit("x").cast("binary")).alias("key"))
     assert prune.probe_filters(other, filters, ["g"]).filter("maybe").count() < 60
-    assert prune.build_filters(df, ["g"], min_keys=5000).count() == 0
+    assert prune.filter_words(df, ["g"], min_keys=5000).count() == 0
+    packed = prune.pack_filters(filters, ["g"]).collect()
+    import pyarrow as pa
+    from keystrata.functions.hashes import fnv1
+    for p in packed:
+        hashes = fnv1(pa.array([str(i).encode() for i in range(p.g, 3000, 3)], pa.binary()))
+        assert p.num_keys == 1000 and len(p.data) * 8 == p.bits and prune.may_include(bytes(p.data), 6, hashes).all()
+        assert prune.may_include(bytes(p.data), 6, fnv1(pa.array([b"%dy" % i for i in range(1000)], pa.binary()))).sum() < 30
+    assert prune.may_include(b"", 6, hashes).all() and prune.may_include(b"x", 0, hashes).all()
 
 
 def test_hash_and_probe_vectors(spark):
@@ -294,3 +340,141 @@ def test_stream_writes_each_batch_once(spark, tmp_path):
     assert table.held.refresh().next_wal_id == 4
     table.write(changes(spark, [(b"k0", 0, b"again", 99)]), "stream", 2)  # delivered again
     assert table.get(b"k0") == b"v2"
+
+
+# safety of the store
+
+
+def test_a_fenced_writer_changes_nothing(spark, tmp_path):
+    root = f"file://{tmp_path}/t"
+    old = KeyedTable(spark, root)
+    old.write(changes(spark, [(b"k", 0, b"old", 1)]))
+    old.held.refresh()
+    new = KeyedTable(spark, root)
+    assert new.write(changes(spark, [(b"k", 0, b"good", 2)])) == 2
+    refresh = old.held.refresh
+    old.held.refresh = lambda: new.manifests.latest()[1]  # the old writer looked before the new one came
+    with pytest.raises(Fenced):
+        old.write(changes(spark, [(b"k", 0, b"bad", 3)]))
+    old.held.refresh = refresh
+    assert new.get(b"k") == b"good" and KeyedTable(spark, root).get(b"k") == b"good"
+    assert len(list((tmp_path / "t" / "wal").iterdir())) == 2  # and its rows are gone
+
+
+def test_two_threads_write_to_one_table(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    table = KeyedTable(spark, f"file://{tmp_path}/t")
+    with ThreadPoolExecutor(4) as pool:
+        ids = list(pool.map(lambda i: table.write(changes(spark, [(b"k%d" % i, 0, b"v%d" % i, i)])), range(8)))
+    assert sorted(ids) == list(range(1, 9))
+    assert {bytes(r.key): bytes(r.value) for r in table.scan().collect()} == {b"k%d" % i: b"v%d" % i for i in range(8)}
+
+
+def test_torn_manifests_do_not_block_a_table(spark, tmp_path):
+    root = f"file://{tmp_path}/t"
+    table = KeyedTable(spark, root)
+    table.write(changes(spark, [(b"k", 0, b"v", 1)]))
+    last = table.held.version
+    folder = tmp_path / "t" / "manifest"
+    (folder / f"{last + 1:020d}.manifest").write_bytes(b"")
+    whole = (folder / f"{last:020d}.manifest").read_bytes()
+    (folder / f"{last + 2:020d}.manifest").write_bytes(whole[: len(whole) // 2])
+    (folder / ".hidden").write_bytes(b"x")
+    again = KeyedTable(spark, root)
+    assert again.held.version == last + 3 and again.get(b"k") == b"v"
+    again.write(changes(spark, [(b"k", 0, b"w", 2)]))
+    assert KeyedTable(spark, root).get(b"k") == b"w"
+
+
+def test_a_compactor_of_its_own(spark, tmp_path):
+    root = f"file://{tmp_path}/t"
+    table = KeyedTable(spark, root, table_bytes=60)
+    compactor = Compactor(spark, root, limit=2)
+    assert compactor.run_once() == []
+    for n in range(2):
+        table.write(changes(spark, [(b"key%d" % i, 0, b"value%d" % n, n * 10 + i) for i in range(8)] + [(b"gone", n, b"x", n * 10 + 9)]))
+        table.flush_memory()
+    held = table.held.refresh()
+    assert len(held.level0) > 2 and all(f.bytes <= 60 + 14 for f in held.level0)  # flushed tables are cut by bytes
+    compactor.tables.table_bytes = 60
+    (run,) = compactor.run_once()
+    m = table.held.refresh()
+    assert m.level0 == () and [r for r, _ in m.runs] == [run] and len(m.runs[0][1]) > 1
+    assert [f.first_key for f in m.runs[0][1]] == sorted(f.first_key for f in m.runs[0][1])
+    assert {bytes(r.value) for r in table.scan().collect()} == {b"value1"} and table.get(b"gone") is None
+    other = Compactor(spark, root)
+    with pytest.raises(Fenced):
+        compactor.run_once()
+    table.write(changes(spark, [(b"key0", 0, b"last", 99)]))
+    table.flush_memory()
+    other.limit = 1
+    other.start(0.2)
+    assert other.next_result(60) == run + 1
+    other.stop()
+    assert other.next_result() is None and table.get(b"key0") == b"last" and table.get(b"key1") == b"value1"
+
+
+def test_reads_skip_tables_by_range_and_filter(spark, tmp_path):
+    table = KeyedTable(spark, f"file://{tmp_path}/t")
+    for n in range(3):
+        table.write(changes(spark, [(b"k%05d" % i, 0, b"v", i) for i in range(n, 900, 3)]))
+        table.flush_memory()
+    opened = []
+    read = table.tables.read
+    table.tables.read = lambda ids: opened.append(ids) or read(ids)
+    assert table.get(b"k00301") == b"v" and len(opened) < 3
+    plan = table.rows(key=b"k00301")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(key" in plan
+    opened.clear()
+    assert table.get(b"zzz") is None and opened == []
+    asked = spark.createDataFrame([(b"k00300",), (b"a",), (None,)], "key binary")
+    assert {r.key if r.key is None else bytes(r.key): r.found for r in table.multi_get(asked).collect()} == {b"k00300": True, b"a": False, None: False}
+    assert len(opened) < 3
+    table.tables.filter = lambda t: None  # no filter is no answer
+    assert table.get(b"k00301") == b"v"
+
+
+def test_few_keys_make_no_filter(spark, tmp_path):
+    table = KeyedTable(spark, f"file://{tmp_path}/t", min_filter_keys=5)
+    table.write(changes(spark, [(b"a", 0, b"v", 1)]))
+    (file,) = table.flush_memory()
+    assert table.tables.filter(file.table_id) is None and table.get(b"a") == b"v"
+
+
+def test_maintenance_beside_a_stream(spark, tmp_path):
+    source, root = f"file://{tmp_path}/in", f"file://{tmp_path}/t"
+    table = KeyedTable(spark, root, level0_bytes=20)
+    service = Maintenance(table, 0.3).start()
+    for n in range(6):
+        changes(spark, [(b"k%d" % i, 0, b"v%d" % n, n * 10 + i) for i in range(4)]).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(CHANGES).option("maxFilesPerTrigger", 1).parquet(source)
+        ingest(stream, table, f"file://{tmp_path}/check").awaitTermination()
+    service.stop(everything=True)
+    m = table.held.refresh()
+    assert m.wals == () and (m.level0 or m.runs)
+    assert {bytes(r.key): bytes(r.value) for r in table.scan().collect()} == {b"k%d" % i: b"v5" for i in range(4)}
+    table.close()
+
+
+def test_table_as_bytes(spark):
+    rows = log(spark, [(b"b", 1, None, 2, 1), (b"a", 0, b"v", 1, 1)]).withColumn("t", F.lit(1))
+    (r,) = rowformat.table_bytes(rows, ["t"]).collect()
+    assert bytes(r.table) == b"\0\0\0\1\0\0\0\2a\0v" + b"\0\0\0\1\0\0\0\1b\1"
+
+
+def test_a_cluster_without_a_shared_folder_is_refused(spark, monkeypatch):
+    from keystrata.sources import scratch
+
+    class Far:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://far:7077"
+            getConf = staticmethod(lambda: Far.conf)
+
+    with pytest.raises(RuntimeError, match="checkpoint.dir"):
+        scratch.shared_folder(Far)
+    small = spark.createDataFrame([(1, "abc")], "a bigint, b string")
+    assert small.agg(F.sum(scratch.row_bytes(small))).first()[0] == 8 * 6 + 8 + 3
