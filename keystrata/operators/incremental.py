@@ -1,8 +1,9 @@
 """Processing only new or changed records.
 
 A table version is a manifest of immutable files. The difference of two manifests (files added, files
-removed, files whose content was replaced, which is a removal and an addition under one name) is what a
-run has to process. ``visible_changes`` computes that difference for a whole log of consumer runs at once;
+removed, files whose content was replaced, which is a removal and an addition under one name, files with
+another deletion vector) is what a run has to process, as files or as inserted and deleted records.
+``visible_changes`` computes that difference for a whole log of consumer runs at once;
 ``IncrementalTable`` performs runs and keeps the processed version inside the commit of their output.
 """
 
@@ -10,13 +11,15 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from keystrata.operators.ordering import week, with_next_event, with_previous
 from keystrata.sources.objects import ObjectFolder
 
+#: Every so many commits one holds all before it.
+CHECKPOINT = 50
 #: WAL ids are joined to run intervals through ranges of this many ids.
 ID_RANGE = 256
 
@@ -31,17 +34,24 @@ def visible_changes(files: DataFrame, runs: DataFrame) -> DataFrame:
     null) the version with the greatest ``last_modified`` not after its start; of several versions at one
     time the greatest checksum. A null checksum equals only a null checksum.
 
+    What a run sees is its manifest. The manifests of a run and of the store's previous committed run are
+    built for the names they can differ in (ids between the two counters, and ids with a version that
+    arrived between the two starts) and diffed by ``signed_delta``, all runs at once.
+
     Returns ``store_id, run_id, wal_id, change``: ``added`` (not seen by the store's previous committed
-    run) or ``replaced`` (seen with another checksum), each at most once per run and id.
+    run), ``replaced`` (seen with another checksum) or ``removed`` (seen by that run and no longer), each
+    at most once per run and id. A store's first committed run has an empty manifest before it.
     """
     versions = files.select("store_id", F.col("id").alias("wal_id"), "last_modified", "checksum").dropna(subset=["store_id", "wal_id", "last_modified"]).distinct()
     done = runs.filter("status = 'committed'").select("store_id", "run_id", "started_at", F.col("next_wal_sst_id").alias("upto")).dropna(subset=["store_id", "started_at"]).distinct()
     done = with_previous(done, ["store_id"], ["started_at", "run_id"], ["started_at", "upto"], week(F.col("started_at")), "before")
     done = done.select("store_id", "run_id", "started_at", "upto", F.col("before.started_at").alias("before_at"), F.coalesce(F.col("before.upto"), F.lit(-(2**62)).cast("bigint")).alias("before_upto"))
 
-    # (1) ids that come into sight: those between the two runs' counters, clipped to ids that exist
+    # (1) ids that come into sight or leave it: those between the two runs' counters, clipped to ids that exist
     extent = versions.groupBy("store_id").agg(F.min("wal_id").alias("lo"), F.max("wal_id").alias("hi"))
-    opened = done.filter("upto is not null").join(extent, "store_id").select("store_id", "run_id", F.greatest("before_upto", "lo").alias("lo"), F.least(F.col("upto") - 1, F.col("hi")).alias("hi")).filter("hi >= lo")
+    least = F.lit(-(2**62)).cast("bigint")
+    moved = done.select("store_id", "run_id", F.least(F.coalesce("upto", least), "before_upto").alias("from"), F.greatest(F.coalesce("upto", least), "before_upto").alias("to"))
+    opened = moved.join(extent, "store_id").select("store_id", "run_id", F.greatest("from", "lo").alias("lo"), F.least(F.col("to") - 1, F.col("hi")).alias("hi")).filter("hi >= lo")
     opened = opened.withColumn("__range", F.explode(F.sequence(F.floor(F.col("lo") / ID_RANGE), F.floor(F.col("hi") / ID_RANGE))))
     ids = versions.select("store_id", "wal_id", F.floor(F.col("wal_id") / ID_RANGE).alias("__range")).distinct()
     in_sight = opened.join(ids, ["store_id", "__range"]).filter("wal_id between lo and hi").select("store_id", "run_id", "wal_id")
@@ -49,13 +59,29 @@ def visible_changes(files: DataFrame, runs: DataFrame) -> DataFrame:
     # (2) content that arrived: the first committed run that starts at or after it
     arrived = with_next_event(versions.select("store_id", "wal_id", "last_modified"), "last_modified", done, "started_at", ["store_id"], ["run_id"], week, "run").select("store_id", F.col("run.run_id").alias("run_id"), "wal_id").filter("run_id is not null")
 
+    # the two manifests of every run, without the names for which both say the same anyway
     touched = in_sight.unionByName(arrived).distinct().join(done, ["store_id", "run_id"])
-    seen = touched.join(versions, ["store_id", "wal_id"]).groupBy("store_id", "run_id", "wal_id").agg(
-        F.max(F.when((F.col("last_modified") <= F.col("started_at")) & (F.col("wal_id") < F.col("upto")), F.struct("last_modified", "checksum"))).alias("now"),
-        F.max(F.when((F.col("last_modified") <= F.col("before_at")) & (F.col("wal_id") < F.col("before_upto")), F.struct("last_modified", "checksum"))).alias("was"),
+    entry = F.struct("last_modified", "checksum")
+    listed = touched.join(versions, ["store_id", "wal_id"]).groupBy("store_id", "run_id", "wal_id").agg(
+        F.max(F.when((F.col("last_modified") <= F.col("before_at")) & (F.col("wal_id") < F.col("before_upto")), entry)).alias("was"),
+        F.max(F.when((F.col("last_modified") <= F.col("started_at")) & (F.col("wal_id") < F.col("upto")), entry)).alias("now"),
     )
-    change = F.when(F.col("was").isNull(), "added").when(~F.col("was.checksum").eqNullSafe(F.col("now.checksum")), "replaced")
-    return seen.filter("now is not null").withColumn("change", change).filter("change is not null").select("store_id", "run_id", "wal_id", "change")
+    side = lambda sign, e: F.struct(F.lit(sign).alias("sign"), e.isNotNull().alias("stands"), e["checksum"].alias("checksum"))
+    manifests = listed.select("store_id", "run_id", "wal_id", F.explode(F.array(side(-1, F.col("was")), side(1, F.col("now")))).alias("m")).select("store_id", "run_id", "wal_id", "m.*").filter("stands")
+    return signed_delta(manifests, ["store_id", "run_id", "wal_id"], "checksum")
+
+
+def signed_delta(manifests: DataFrame, name: list[str], version: str, vector: Column | None = None) -> DataFrame:
+    """Differences of any number of pairs of manifests: ``name, change``.
+
+    One row per file of a manifest: ``name`` (with whatever tells the pairs apart), ``version`` and ``sign``,
+    -1 in the manifest before and 1 in the one after. ``vector`` gives the deletion vector. Repeated rows
+    count once; files equal on both sides give no row.
+    """
+    item = F.struct(F.col(version).alias("v"), (vector if vector is not None else F.array().cast("array<bigint>")).alias("d"))
+    both = manifests.groupBy(*name).agg(F.max(F.when(F.col("sign") < 0, item)).alias("__was"), F.max(F.when(F.col("sign") > 0, item)).alias("__now"))
+    change = F.when(F.col("__was").isNull(), "added").when(F.col("__now").isNull(), "removed").when(~F.col("__was.v").eqNullSafe(F.col("__now.v")), "replaced").when(F.col("__was.d") != F.col("__now.d"), "masked")
+    return both.select(*name, change.alias("change")).filter("change is not null")
 
 
 def manifest_delta(before: DataFrame, after: DataFrame, name: str = "name", version: str = "version") -> DataFrame:
@@ -64,13 +90,9 @@ def manifest_delta(before: DataFrame, after: DataFrame, name: str = "name", vers
     ``masked`` means the same content with another deletion vector (optional column ``deleted_rows``,
     an array of row positions). Unchanged files give no row; repeated rows count once.
     """
-    vector = F.array_sort(F.coalesce(F.col("deleted_rows"), F.array().cast("array<bigint>"))) if "deleted_rows" in before.columns else F.array().cast("array<bigint>")
-    a = before.select(F.col(name).alias("__a"), F.col(version).alias("__av"), vector.alias("__ad")).distinct()
-    vector = F.array_sort(F.coalesce(F.col("deleted_rows"), F.array().cast("array<bigint>"))) if "deleted_rows" in after.columns else F.array().cast("array<bigint>")
-    b = after.select(F.col(name).alias("__b"), F.col(version).alias("__bv"), vector.alias("__bd")).distinct()
-    both = a.join(b, F.col("__a") == F.col("__b"), "full")
-    change = F.when(F.col("__a").isNull(), "added").when(F.col("__b").isNull(), "removed").when(~F.col("__av").eqNullSafe(F.col("__bv")), "replaced").when(F.col("__ad") != F.col("__bd"), "masked")
-    return both.select(F.coalesce("__a", "__b").alias(name), change.alias("change")).filter("change is not null")
+    none = F.array().cast("array<bigint>")
+    side = lambda m, sign: m.select(name, version, F.array_sort(F.coalesce(F.col("deleted_rows"), none) if "deleted_rows" in m.columns else none).alias("__d"), F.lit(sign).alias("sign"))
+    return signed_delta(side(before, -1).unionByName(side(after, 1)), [name], version, F.col("__d"))
 
 
 def record_delta(before: DataFrame, after: DataFrame, records, name: str = "name", version: str = "version", position: str = "position") -> DataFrame:
@@ -116,7 +138,14 @@ class IncrementalTable:
         self.log = ObjectFolder(spark, f"{self.root}/_commits")
 
     def commits(self) -> list[dict]:
-        return [json.loads(self.log.read(n)) for n in sorted(self.log.names()) if n.endswith(".json")]
+        """All commits in order. Every ``CHECKPOINT``-th holds those before it, so few objects are read."""
+        names = [n for n in sorted(self.log.names()) if n.endswith(".json")]
+        whole = [n for n in names if int(n[:20]) % CHECKPOINT == 0]
+        out: list[dict] = []
+        for n in [x for x in names if not whole or x >= whole[-1]]:
+            commit = json.loads(self.log.read(n))
+            out += commit.pop("earlier", []) + [commit]
+        return out
 
     def run(self, manifest: DataFrame, process, run_id: str, records=None) -> DataFrame | None:
         """Process what changed since the last commit; returns the delta, or None if nothing changed.
@@ -140,7 +169,8 @@ class IncrementalTable:
             return None
         process(delta if records is None else record_delta(before, now, records)).write.mode("overwrite").parquet(f"{self.root}/data/{run_id}")
         number = len(done) + 1
-        self.log.create(f"{number:020d}.json", json.dumps({"number": number, "run_id": run_id, "version": f"_versions/{run_id}", "data": f"data/{run_id}", "signed": records is not None}))
+        commit = {"number": number, "run_id": run_id, "version": f"_versions/{run_id}", "data": f"data/{run_id}", "signed": records is not None}
+        self.log.create(f"{number:020d}.json", json.dumps({**commit, "earlier": done} if number % CHECKPOINT == 0 else commit))
         return delta
 
     def read(self) -> DataFrame | None:

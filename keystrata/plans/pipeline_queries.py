@@ -8,16 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keystrata.operators.changefeed import apply_changes
-from keystrata.operators.incremental import visible_changes
+from keystrata.operators.incremental import IncrementalTable, visible_changes
 from keystrata.operators.smallfiles import consolidate_rows, plan_consolidation, row_digest, small_objects
-from keystrata.operators.snapshots import snapshot_changes, snapshot_records
-from keystrata.sources.scratch import sent_if_small, shared_folder, written
+from keystrata.operators.snapshots import handle_changes
+from keystrata.sources.scratch import new_folder, sent_if_small, shared_folder, written
 from keystrata.sources.tables import table
 
 
 def _handle_changes(spark: SparkSession, d: str) -> DataFrame:
-    versions, records = snapshot_records(table(spark, d, "core_state_snapshot"), table(spark, d, "manifest_file"))
-    return snapshot_changes(versions, records, "store_id", "manifest_id", "sst_id")
+    return handle_changes(table(spark, d, "core_state_snapshot"), table(spark, d, "manifest_file"))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -31,15 +30,34 @@ def p1_changed_fields(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    """WAL objects every committed run has to take."""
-    return visible_changes(table(spark, d, "immutable_wal"), table(spark, d, "core_db_state")).drop("change")
+    """WAL objects every committed run has to take: added or replaced between its manifest and the one before."""
+    return visible_changes(table(spark, d, "immutable_wal"), table(spark, d, "core_db_state")).filter("change <> 'removed'").drop("change")
 
 
 def p2_changes(spark: SparkSession, d: str) -> DataFrame:
-    """WAL objects every committed run has to take, added or replaced."""
+    """Files added, replaced and removed between the manifests of a committed run and of the one before."""
     return visible_changes(table(spark, d, "immutable_wal"), table(spark, d, "core_db_state"))
 
 
+def p2_processed(spark: SparkSession, d: str) -> DataFrame:
+    """The feed processed by three runs over manifests of its WALs; what stands in the output at the end.
+
+    The first manifest lists the WALs up to 40, the second those from 21 to 80 without their deletes
+    (named by deletion vectors), the third all from 21 on, deletes back again and rows without key
+    deleted. A run gets the records inserted and deleted since the version in the last commit; the output
+    of deleted records is taken back. A row's position is the digest of its content, so repeats share one.
+    """
+    feed = table(spark, d, "row_entry").filter("store_id is not null and wal_id is not null")
+    rows = feed.select(F.concat_ws("/", "store_id", "wal_id").alias("name"), F.lit("1").alias("version"), F.xxhash64("store_id", "wal_id", "kind", "seq", "key", F.isnull("key"), "value", F.isnull("value"), F.isnull("seq"), F.isnull("kind")).alias("position"), "store_id", "wal_id", "kind", "seq", "key")
+    out = IncrementalTable(spark, f"{new_folder(spark, 'incremental')}/t")
+    for run, (files, gone) in enumerate((("wal_id <= 40", "false"), ("wal_id between 21 and 80", "kind = 1"), ("wal_id > 20", "key is null"))):
+        vector = F.collect_set(F.when(F.expr(gone), F.col("position")))
+        manifest = rows.filter(files).groupBy("name", "version").agg(vector.alias("deleted_rows"))
+        read = lambda names: rows.join(names.withColumnRenamed("version", "__v"), "name").filter("version = __v").select(*rows.columns)
+        out.run(manifest, lambda delta: delta.select("store_id", "wal_id", "kind", "seq", F.hex("key").alias("key_hex"), "change"), f"run-{run}", read)
+    return out.read().select("store_id", "wal_id", F.col("kind").cast("bigint").alias("kind"), "seq", "key_hex")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Live keys of every store with the change that made them."""
     live = apply_changes(table(spark, d, "row_entry"), ["store_id"])
@@ -96,7 +114,7 @@ def p5_consolidated(spark: SparkSession, d: str) -> DataFrame:
     return joined.select("store_id", "objects_before", "objects_after", F.col("rows").alias("rows_before"), "rows_after", equal.alias("digests_equal"), "largest_bytes", "longest_file")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_changed_fields, p2_found, p2_changes, p3_found, p3_state, p3_merge, p5_found, p5_targets, p5_consolidated)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_changed_fields, p2_found, p2_changes, p2_processed, p3_found, p3_state, p3_merge, p5_found, p5_targets, p5_consolidated)}
 
 _P1 = """
 WITH counted AS (
@@ -129,10 +147,13 @@ r AS (SELECT DISTINCT store_id, run_id, started_at, next_wal_sst_id AS upto FROM
 p AS (SELECT *, lag(run_id) OVER w AS before_run FROM r WINDOW w AS (PARTITION BY store_id ORDER BY started_at, run_id)),
 seen AS (SELECT r.store_id, r.run_id, v.wal_id, max_by(struct_pack(c := v.checksum), (v.last_modified, v.checksum)) AS s
          FROM r JOIN v ON r.store_id = v.store_id AND v.wal_id < r.upto AND v.last_modified <= r.started_at GROUP BY ALL),
-found AS (SELECT n.store_id, n.run_id, n.wal_id, CASE WHEN o.wal_id IS NULL THEN 'added' ELSE 'replaced' END AS change
-          FROM seen n JOIN p ON p.store_id = n.store_id AND p.run_id = n.run_id
-          LEFT JOIN seen o ON o.store_id = n.store_id AND o.run_id = p.before_run AND o.wal_id = n.wal_id
-          WHERE o.wal_id IS NULL OR o.s.c IS DISTINCT FROM n.s.c)
+pairs AS (SELECT p.store_id, p.run_id AS run_new, p.before_run AS run_old FROM p),
+new_side AS (SELECT store_id, run_new AS run_id, s.wal_id, s.s.c AS c FROM pairs JOIN seen s USING (store_id) WHERE s.run_id = run_new),
+old_side AS (SELECT store_id, run_new AS run_id, s.wal_id, s.s.c AS c FROM pairs JOIN seen s USING (store_id) WHERE s.run_id = run_old),
+found AS (SELECT coalesce(n.store_id, o.store_id) AS store_id, coalesce(n.run_id, o.run_id) AS run_id, coalesce(n.wal_id, o.wal_id) AS wal_id,
+            CASE WHEN o.wal_id IS NULL THEN 'added' WHEN n.wal_id IS NULL THEN 'removed' ELSE 'replaced' END AS change
+          FROM new_side n FULL JOIN old_side o ON n.store_id = o.store_id AND n.run_id = o.run_id AND n.wal_id = o.wal_id
+          WHERE o.wal_id IS NULL OR n.wal_id IS NULL OR o.c IS DISTINCT FROM n.c)
 """
 _P3 = """
 WITH ranked AS (SELECT store_id, key, kind, value, seq, row_number() OVER (PARTITION BY store_id, key ORDER BY seq DESC) AS rn
@@ -153,8 +174,9 @@ small AS (SELECT l.object_id, l.store_id, l.config_id, l.size_bytes, seg[1] AS f
 ORACLE = {
     "p1_found": _P1 + "SELECT store_id, prev_manifest_id, manifest_id, sst_id, change_kind FROM both_sides WHERE change_kind <> 'changed' OR changed_fields <> ''",
     "p1_changed_fields": _P1 + "SELECT store_id, prev_manifest_id, manifest_id, sst_id, changed_fields FROM both_sides WHERE change_kind = 'changed' AND changed_fields <> ''",
-    "p2_found": _P2 + "SELECT store_id, run_id, wal_id FROM found",
+    "p2_found": _P2 + "SELECT store_id, run_id, wal_id FROM found WHERE change <> 'removed'",
     "p2_changes": _P2 + "SELECT store_id, run_id, wal_id, change FROM found",
+    "p2_processed": "SELECT store_id, wal_id, CAST(kind AS BIGINT) AS kind, seq, hex(key) AS key_hex FROM row_entry WHERE store_id IS NOT NULL AND wal_id > 20 AND key IS NOT NULL",
     "p3_found": _P3 + "SELECT store_id, hex(key) AS key_hex, seq FROM live",
     "p3_state": _P3 + "SELECT store_id, hex(key) AS key_hex, hex(value) AS value_hex, seq FROM live",
     "p3_merge": _P3 + "SELECT store_id, hex(key) AS key_hex, seq FROM live",

@@ -25,6 +25,7 @@ def brute(files, runs):
                 seen[i] = max(seen.get(i, (m, -(2**62))), (m, c if c is not None else -(2**62)))
         old = before.get(store, {})
         out |= {(store, run, i, "added" if i not in old else "replaced") for i, v in seen.items() if i not in old or old[i][1] != v[1]}
+        out |= {(store, run, i, "removed") for i in old if i not in seen}
         before[store] = seen
     return out
 
@@ -79,6 +80,20 @@ def test_runs_survive_failures_without_skipping_or_repeating(spark, tmp_path):
     assert [c["run_id"] for c in again.commits()] == ["r1", "r3"]
 
 
+def test_commits_are_gathered_now_and_then(spark, tmp_path, monkeypatch):
+    from keystrata.operators import incremental
+
+    monkeypatch.setattr(incremental, "CHECKPOINT", 3)
+    table = IncrementalTable(spark, f"file://{tmp_path}/t")
+    for i in range(7):
+        table.run(spark.createDataFrame([("a", str(i))], "name string, version string"), lambda d: d, f"r{i}")
+    read = []
+    one = table.log.read
+    table.log.read = lambda n: read.append(n) or one(n)
+    assert [c["run_id"] for c in table.commits()] == [f"r{i}" for i in range(7)] and len(read) == 2
+    assert [c["number"] for c in table.commits()] == list(range(1, 8))
+
+
 CONTENT = {("f", "1"): "ab", ("g", "1"): "abcc", ("g", "2"): "bccd", ("h", "1"): "xyz", ("i", None): "pq", ("j", "1"): "kk"}
 MANIFEST = "name string, version string, deleted_rows array<bigint>"
 

@@ -1,4 +1,6 @@
-from keystrata.operators.snapshots import snapshot_changes, snapshot_records
+import random
+
+from keystrata.operators.snapshots import compare_snapshots, handle_changes
 
 SST = "struct<sst_id:string,first_key:binary,index_offset:bigint,index_len:bigint,filter_offset:bigint,filter_len:bigint,codec:string>"
 SNAPSHOT = f"store_id bigint, manifest_id bigint, location string, l0 array<{SST}>, compacted array<struct<id:bigint,ssts:array<{SST}>>>, sst_id string, field string"
@@ -12,8 +14,7 @@ def sst(name, codec="none", first=b"a", offset=1):
 def run(spark, snapshots, manifests):
     s = spark.createDataFrame([(*x, "clash", "clash") for x in snapshots], SNAPSHOT)
     m = spark.createDataFrame([(*x, 99) for x in manifests], MANIFEST)
-    versions, records = snapshot_records(s, m)
-    out = snapshot_changes(versions, records, "store_id", "manifest_id", "sst_id")
+    out = handle_changes(s, m)
     return {(r.store_id, r.prev_manifest_id, r.manifest_id, r.sst_id): (r.change_kind, r.changed_fields) for r in out.collect()}
 
 
@@ -47,10 +48,36 @@ def test_nulls_are_values_of_their_own(spark):
 def test_key_with_several_rows_is_a_set_of_cells(spark):
     versions = spark.createDataFrame([(1, 1), (1, 2)], "g int, v int")
     records = spark.createDataFrame([(1, 1, "k", "a"), (1, 1, "k", "b"), (1, 2, "k", "a"), (1, 1, "j", "a"), (1, 2, "j", "a")], "g int, v int, key string, f string")
-    out = snapshot_changes(versions, records, "g", "v", "key").collect()
+    out = compare_snapshots(versions, records, "g", "v", "key").collect()
     assert [(r.key, r.change_kind, r.changed_fields) for r in out] == [("k", "changed", ["f"])]
 
 
+def test_many_versions_with_gaps_equal_brute_force(spark):
+    rng = random.Random(2)
+    numbers = {g: sorted(rng.sample(range(1, 400), 150)) for g in (1, 2)}
+    state, records, want = {}, [], set()
+    for g, versions in numbers.items():
+        old, state, last = {}, {}, None
+        for v in versions:
+            for _ in range(rng.randrange(0, 4)):
+                k = f"k{rng.randrange(12)}"
+                if rng.random() < 0.3:
+                    state.pop(k, None)
+                else:
+                    state[k] = (rng.randrange(3), rng.choice([b"a", b"", None]))
+            records += [(g, v, k, *x) for k, x in state.items()]
+            if last is not None:
+                for k in old.keys() | state.keys():
+                    if old.get(k) != state.get(k):
+                        want.add((g, last, v, k, "added" if k not in old else "removed" if k not in state else "changed"))
+            old, last = dict(state), v
+    rng.shuffle(records)
+    df = spark.createDataFrame(records + records[:50], "g int, v bigint, key string, f int, b binary")
+    versions = spark.createDataFrame([(g, v) for g, vs in numbers.items() for v in vs], "g int, v bigint")
+    out = compare_snapshots(versions, df, "g", "v", "key").collect()
+    assert len(out) == len(want) and {(r.g, r.prev_v, r.v, r.key, r.change_kind) for r in out} == want
+
+
 def test_empty_tables(spark):
     assert run(spark, [], []) == {}
     assert run(spark, [(1, 1, "a", [sst("x")], [])], []) == {}
