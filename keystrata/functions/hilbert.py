@@ -43,17 +43,24 @@ def hilbert_codes(axes: list[np.ndarray], bits: int) -> np.ndarray:
     return code.astype(np.int64)
 
 
-def hilbert_code(axes: list[Column], bits: int) -> Column:
-    """Column form of ``hilbert_codes``: axes are integer columns, clipped to the range; null counts as 0."""
+def hilbert_code(axes: list[Column], bits: int, spread: list[list[int]]) -> Column:
+    """Column form of ``hilbert_codes`` for integer columns of any distribution; null counts as the least value.
+
+    ``spread`` holds for each axis its quantiles in ascending order: they are put at equal distances on the
+    grid and values between two of them in proportion, so that outliers take no room from the others. An
+    axis without quantiles, or with one value, lies at 0.
+    """
+    points = [np.unique(np.asarray(s, np.int64)) if s else np.zeros(1, np.int64) for s in spread]
 
     @F.pandas_udf("long")
     def code(*cols: pd.Series) -> pd.Series:
-        return pd.Series(hilbert_codes([c.fillna(0).clip(0, (1 << bits) - 1).astype("int64").to_numpy() for c in cols], bits))
+        grid = []
+        for c, known in zip(cols, points):
+            low, top = known[0], (1 << bits) - 1
+            # distances from the least value, so that large numbers keep their last digits
+            values = (c.fillna(low).astype("int64").to_numpy() - low).astype(np.float64)
+            at = np.interp(values, (known - low).astype(np.float64), np.linspace(0, top, len(known)) if len(known) > 1 else [0.0])
+            grid.append(np.floor(at).astype(np.int64))
+        return pd.Series(hilbert_codes(grid, bits))
 
     return code(*[a.cast("bigint") for a in axes])
-
-
-def scaled(value: Column, low: Column, high: Column, bits: int) -> Column:
-    """Map ``[low, high]`` to ``[0, 2**bits)`` linearly; one value maps to 0, null stays null."""
-    span = (high - low).cast("double")
-    return F.when(span > 0, F.floor((value - low).cast("double") / span * ((1 << bits) - 1))).when(value.isNotNull(), F.lit(0).cast("bigint"))

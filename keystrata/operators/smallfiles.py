@@ -15,13 +15,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from keystrata.functions.hilbert import hilbert_code, scaled
+from keystrata.functions.hilbert import hilbert_code
 from keystrata.functions.paths import clean_segments, extension
 from keystrata.operators.ordering import with_running_total
 from keystrata.sources.scratch import sent_if_small, written
 
 DATA_FOLDERS = ("wal", "compacted")
 CODE_BITS = 16
+#: Parts of equal weight that each axis is cut into before it is laid on the curve's grid.
+QUANTILES = 256
 #: Slots of the items of one code: the most files that a code can be spread over.
 SLOTS = 1 << 31
 #: File boundaries sent to the tasks; more are joined.
@@ -58,28 +60,49 @@ def small_objects(listing: DataFrame, config: DataFrame) -> DataFrame:
 def assign_targets(items: DataFrame, group: list[str], axes: list[str], size: str, target: str, tie: str) -> DataFrame:
     """Give every item a target file: columns ``curve_code`` and ``target_no``, counted from 0 per ``group``.
 
-    ``axes`` are integer columns scaled per whole input to the curve's grid; ``size`` is a positive
-    number, ``target`` the wanted size of the item's group, ``tie`` a column that differs between items
-    and is the same whenever the input is read. A file holds a stretch of the curve of about ``target``
-    bytes, the last item of it may reach over. Items of equal code take slots on the stretch that all of
-    them fill, so a code that exceeds a file is spread evenly over as many files as it fills. No item is
-    dropped; null axes count as the lowest value.
-
-    Where files begin on the curve is one row per file. Up to ``MAX_BOUNDARIES`` they go to the tasks that
-    compute the codes, and items are not shuffled here; beyond, items are joined to the histogram.
+    ``axes`` are integer columns laid on the curve's grid by their quantiles over the whole input; ``size``
+    is a positive number, ``target`` the wanted size of the item's group, ``tie`` a column that differs
+    between items and is the same whenever the input is read. Files of a group are equal stretches of the
+    curve in bytes, as many as come nearest to ``target``. All items of a code go to the file in which the
+    middle of the code lies; a code heavier than a file is spread by the digest of ``tie`` over the
+    stretch it fills, so over as many files as that has. No item is dropped; null axes count as the
+    lowest value. Meant for items that weigh something against a file: they are joined to the histogram.
     """
-    return _assigned(items, group, axes, size, target, tie)[0]
+    coded = _coded(items, axes)
+    return _joined_targets(coded.withColumn("__ks_slot", F.pmod(F.xxhash64(tie), F.lit(SLOTS))), _histogram(coded, group, axes, size, target), group)
 
 
-def _assigned(items: DataFrame, group: list[str], axes: list[str], size: str, target: str, tie: str) -> tuple[DataFrame, DataFrame]:
-    """Items with their targets, and the histogram the targets were cut from."""
-    extent = items.agg(*[f(a) for a in axes for f in (F.min, F.max)]).first()
-    scale = [scaled(F.col(a), F.lit(extent[2 * i]), F.lit(extent[2 * i + 1]), CODE_BITS) for i, a in enumerate(axes)]
-    slot = F.pmod(F.xxhash64(tie), F.lit(SLOTS))
-    coded = items.withColumn("curve_code", hilbert_code(scale, CODE_BITS))
-    histogram = coded.groupBy(*group, "curve_code").agg(F.sum(size).alias("__ks_bytes"), F.max(target).alias("__ks_target"))
+def _coded(items: DataFrame, axes: list[str]) -> DataFrame:
+    """Items with their place on the curve; the quantiles of the axes, one row, are taken first."""
+    at = F.array(*[F.lit(i / QUANTILES) for i in range(QUANTILES + 1)])
+    spread = items.agg(*[F.percentile_approx(F.col(a).cast("bigint"), at, F.lit(20 * QUANTILES)) for a in axes]).first()
+    return items.withColumn("curve_code", hilbert_code([F.col(a) for a in axes], CODE_BITS, list(spread)))
+
+
+def _histogram(coded: DataFrame, group: list[str], axes: list[str], size: str, target: str) -> DataFrame:
+    """Exact bytes of every code, those before it on the curve, and the size of a file of its group."""
+    histogram = coded.groupBy(*group, "curve_code").agg(F.sum(size).alias("__ks_bytes"), F.max(target).alias("__ks_wanted"))
     shift = max(0, CODE_BITS * len(axes) - 20)
     placed = written(with_running_total(histogram, group, "curve_code", "__ks_bytes", F.shiftright("curve_code", shift), "__ks_before"), "histogram")
+    totals = placed.groupBy(*group).agg(F.sum("__ks_bytes").alias("__ks_total"), F.max("__ks_wanted").alias("__ks_wanted"))
+    files = F.greatest(F.ceil(F.col("__ks_total") / F.col("__ks_wanted") - 0.2), F.lit(1))  # a last file of under a fifth is shared out
+    totals = totals.select(*[F.col(g).alias(f"__ks_g{i}") for i, g in enumerate(group)], (F.col("__ks_total") / files).alias("__ks_target"))
+    on = F.lit(True)
+    for i, g in enumerate(group):
+        on = on & F.col(g).eqNullSafe(F.col(f"__ks_g{i}"))
+    return placed.drop("__ks_wanted").join(totals, on).drop(*[f"__ks_g{i}" for i in range(len(group))])
+
+
+def _row_targets(rows: DataFrame, group: list[str], axes: list[str], size: str, target: str, tie: str) -> tuple[DataFrame, DataFrame]:
+    """``assign_targets`` for rows that weigh nothing against a file, and the histogram it was cut from.
+
+    Rows of one code are spread by the digest of ``tie`` over the stretch they fill. Where files begin on
+    the curve is one row per file; up to ``MAX_BOUNDARIES`` they go to the tasks that compute the codes and
+    rows are not shuffled here; beyond, rows are joined to the histogram.
+    """
+    coded = _coded(rows, axes)
+    slot = F.pmod(F.xxhash64(tie), F.lit(SLOTS))
+    placed = written(_histogram(coded, group, axes, size, target), "places")
     begins = F.ceil(F.col("__ks_before") / F.col("__ks_target"))
     ends = F.ceil((F.col("__ks_before") + F.col("__ks_bytes")) / F.col("__ks_target")) - 1
     starts = placed.filter(ends >= begins).withColumn("__ks_no", F.explode(F.sequence(begins, ends)))
@@ -87,12 +110,12 @@ def _assigned(items: DataFrame, group: list[str], axes: list[str], size: str, ta
     starts = starts.select(F.to_json(F.struct(*group)).alias("g"), F.col("curve_code").alias("code"), at.alias("slot"))
     known = starts.limit(MAX_BOUNDARIES + 1).toPandas()
     if len(known) > MAX_BOUNDARIES:
-        return _joined_targets(coded.withColumn("__ks_slot", slot), placed, group), placed
+        return _joined_targets(coded.withColumn("__ks_slot", slot), placed, group, spread=True), placed
     cuts = {}
     for g, x in known.groupby("g"):
         codes, rank = np.unique(x["code"].to_numpy(np.int64), return_inverse=True)
         cuts[g] = codes, np.sort(rank * 2 * SLOTS + x["slot"].to_numpy(np.int64))
-    shared = items.sparkSession.sparkContext.broadcast(cuts)
+    shared = rows.sparkSession.sparkContext.broadcast(cuts)
 
     @F.pandas_udf("long")
     def number(groups: pd.Series, codes: pd.Series, slots: pd.Series) -> pd.Series:
@@ -109,14 +132,15 @@ def _assigned(items: DataFrame, group: list[str], axes: list[str], size: str, ta
     return coded.withColumn("target_no", number(F.to_json(F.struct(*group)), F.col("curve_code"), slot)), placed
 
 
-def _joined_targets(coded: DataFrame, placed: DataFrame, group: list[str]) -> DataFrame:
+def _joined_targets(coded: DataFrame, placed: DataFrame, group: list[str], spread: bool = False) -> DataFrame:
     """Targets by a join of the items with the running totals of the histogram."""
     cols = [c for c in coded.columns if c not in ("curve_code", "__ks_slot")]
     placed = placed.select(*[F.col(g).alias(f"__ks_g{i}") for i, g in enumerate(group)], F.col("curve_code").alias("__ks_code"), "__ks_before", "__ks_bytes", "__ks_target")
     on = F.col("curve_code") == F.col("__ks_code")
     for i, g in enumerate(group):
         on = on & F.col(g).eqNullSafe(F.col(f"__ks_g{i}"))
-    position = F.col("__ks_before") + F.floor(F.col("__ks_bytes") * (F.col("__ks_slot") / SLOTS))
+    share = F.col("__ks_slot") / SLOTS if spread else F.when(F.col("__ks_bytes") > F.col("__ks_target"), F.col("__ks_slot") / SLOTS).otherwise(0.5)
+    position = F.col("__ks_before") + F.floor(F.col("__ks_bytes") * share)
     return coded.join(placed, on).select(*cols, "curve_code", F.floor(position / F.col("__ks_target")).alias("target_no"))
 
 
@@ -133,10 +157,17 @@ def plan_consolidation(listing: DataFrame, config: DataFrame) -> DataFrame:
 
     Objects are gathered per store, configuration and folder, along a Hilbert curve over their time and
     their place in the name order. Returns ``object_id, store_id, config_id, folder, path, size_bytes,
-    block_size, curve_code, target_no``; each candidate stands in exactly one row.
+    block_size, curve_code, target_no``; each candidate stands in exactly one row. The plan is written, and
+    whoever reads it compares it with the candidates: the objects and bytes that stand in a target, by
+    count, digests and sum. A plan that lost, doubled or altered one fails the read.
     """
-    small = written(small_objects(listing, config), "small-objects").withColumn("__time", F.unix_micros(F.col("last_modified").cast("timestamp"))).withColumn("__name", name_number(F.col("name")))
-    return assign_targets(small, ["store_id", "config_id", "folder"], ["__time", "__name"], "size_bytes", "block_size", "object_id").select("object_id", "store_id", "config_id", "folder", "path", "size_bytes", "block_size", "curve_code", "target_no")
+    small = written(small_objects(listing, config), "small-objects")
+    timed = small.withColumn("__time", F.unix_micros(F.col("last_modified").cast("timestamp"))).withColumn("__name", name_number(F.col("name")))
+    placed = assign_targets(timed, ["store_id", "config_id", "folder"], ["__time", "__name"], "size_bytes", "block_size", "object_id")
+    plan = written(placed.select("object_id", "store_id", "config_id", "folder", "path", "size_bytes", "block_size", "curve_code", "target_no"), "plan").filter("curve_code is not null and target_no >= 0")
+    whole = lambda df: row_digest(df, ["object_id", "size_bytes"], []).select(F.struct("rows", "xor_hash", "sum_hash").alias("d")).scalar()
+    same = F.assert_true(whole(small).eqNullSafe(whole(plan)), F.lit("the plan does not hold the small objects"))
+    return plan.filter(same.isNull())
 
 
 def row_digest(df: DataFrame, columns: list[str], group: list[str], *more: Column) -> DataFrame:
@@ -159,9 +190,9 @@ def consolidate_rows(rows: DataFrame, group: list[str], axes: list[str], size: s
     and ``file_bytes``, the file a row was read from and its length.
     """
     spark = rows.sparkSession
-    placed, histogram = _assigned(rows, group, axes, size, target, tie)
+    placed, histogram = _row_targets(rows, group, axes, size, target, tie)
     totals = histogram.groupBy(*group).agg(F.sum("__ks_bytes").alias("__ks_bytes"), F.max("__ks_target").alias("__ks_target"))
-    totals = totals.withColumn("__ks_files", F.ceil(F.col("__ks_bytes") / F.col("__ks_target"))).withColumn("__ks_load", F.least(F.col("__ks_target") + FILE_COST, F.lit(TASK_BYTES)).cast("bigint"))
+    totals = totals.withColumn("__ks_files", F.round(F.col("__ks_bytes") / F.col("__ks_target")).cast("bigint")).withColumn("__ks_load", F.least(F.ceil("__ks_target") + FILE_COST, F.lit(TASK_BYTES)).cast("bigint"))
     earlier = Window.orderBy(*group).rowsBetween(Window.unboundedPreceding, -1)  # one row per group
     first = [F.coalesce(F.sum(x).over(earlier), F.lit(0)).alias(n) for x, n in ((F.col("__ks_files"), "__ks_first"), (F.col("__ks_files") * F.col("__ks_load"), "__ks_begin"))]
     named = [F.col(g).alias(f"__ks_g{i}") for i, g in enumerate(group)]

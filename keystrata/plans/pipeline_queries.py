@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from keystrata.operators.changefeed import apply_changes
 from keystrata.operators.incremental import IncrementalTable, visible_changes
 from keystrata.operators.smallfiles import consolidate_rows, plan_consolidation, row_digest, small_objects
 from keystrata.operators.snapshots import handle_changes
-from keystrata.sources.scratch import new_folder, sent_if_small, shared_folder, written
+from keystrata.sources.scratch import new_folder, sent_if_small, written
 from keystrata.sources.tables import table
 
 
@@ -79,21 +77,31 @@ def p3_merge(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    """Small objects to be gathered: each stands in one target of the consolidation plan."""
+    """Small objects to be gathered: each stands in one target of the written plan."""
     return plan_consolidation(table(spark, d, "object_meta"), table(spark, d, "db_config")).select("object_id")
 
 
 def p5_targets(spark: SparkSession, d: str) -> DataFrame:
-    """Target objects of the plan: objects and bytes gathered into each."""
+    """How the plan gathers, per store, configuration and folder: objects, bytes and targets, and their balance."""
     plan = plan_consolidation(table(spark, d, "object_meta"), table(spark, d, "db_config"))
-    return plan.groupBy("store_id", "config_id", "folder", "target_no").agg(F.count("*").alias("objects"), F.sum("size_bytes").alias("bytes"), F.max("block_size").alias("block_size"))
+    each = plan.groupBy("store_id", "config_id", "folder", "target_no").agg(F.count("*").alias("objects"), F.sum("size_bytes").alias("bytes"), F.max("block_size").alias("block_size"))
+    full = F.col("bytes") / F.col("block_size")
+    return each.groupBy("store_id", "config_id", "folder").agg(F.sum("objects").alias("objects"), F.sum("bytes").alias("bytes"), F.count("*").alias("targets"), F.round(F.avg(full), 3).alias("mean_fill"), F.round(F.max(full), 3).alias("most_fill"), F.sum(F.when(full < 0.5, 1).otherwise(0)).alias("below_half"))
+
+
+def p5_planned(spark: SparkSession, d: str) -> DataFrame:
+    """Objects and bytes that the plan gathers, per store, configuration and folder."""
+    return p5_targets(spark, d).select("store_id", "config_id", "folder", "objects", "bytes")
 
 
 def p5_consolidated(spark: SparkSession, d: str) -> DataFrame:
     """Rows of the small WAL objects written into balanced files; digests of source and destination.
 
-    One row per store: files and rows before and after, whether the row digests are equal, the bytes of
-    rows in the fullest file and the length of the longest. Files after are those the rows were read from.
+    Only WAL objects have rows in the tables; those of the other folder are planned like them. One row per
+    store: objects before and files after, rows before and after, whether the row digests are equal, the
+    bytes of rows in the fullest file and the length of the longest. The digest before is taken from the
+    feed itself, object by object, apart from the rows that are gathered; files after are those the rows
+    were read from.
     """
     small = small_objects(table(spark, d, "object_meta"), table(spark, d, "db_config")).filter("folder = 'wal'")
     small = small.select("store_id", F.regexp_extract("name", r"^([0-9]{20})\.sst$", 1).try_cast("bigint").alias("wal_id"), "config_id", "block_size").filter("wal_id is not null")
@@ -104,8 +112,9 @@ def p5_consolidated(spark: SparkSession, d: str) -> DataFrame:
     rows = feed.withColumn("__row", F.monotonically_increasing_id()).join(sent_if_small(small), ["store_id", "wal_id"]).withColumn("__bytes", F.coalesce(F.octet_length("key"), F.lit(0)) + F.coalesce(F.octet_length("value"), F.lit(0)) + 21)
     number = lambda part: F.conv(F.hex(part), 16, 10).try_cast("bigint")
     rows = rows.withColumn("__prefix", number(F.substring("key", 1, 6))).withColumn("__tail", number(F.substring("key", -6, 6)))
-    out = consolidate_rows(rows, ["store_id", "config_id"], ["__prefix", "__tail", "seq"], "__bytes", "block_size", "__row", f"{shared_folder(spark)}/consolidated-{uuid.uuid4().hex}")
-    before = row_digest(rows, data, ["store_id"])
+    out = consolidate_rows(rows, ["store_id", "config_id"], ["__prefix", "__tail", "seq"], "__bytes", "block_size", "__row", f"{new_folder(spark, 'consolidated')}/t")
+    objects = row_digest(feed, data, ["store_id", "wal_id"]).join(small, ["store_id", "wal_id"])
+    before = objects.groupBy("store_id").agg(F.sum("rows").alias("rows"), F.bit_xor("xor_hash").alias("xor_hash"), F.sum("sum_hash").alias("sum_hash"))
     files = small.groupBy("store_id").agg(F.count("*").alias("objects_before"))
     each = row_digest(out, data, ["store_id", "file_path"], F.sum("__bytes").alias("b"), F.max("file_bytes").alias("f"))
     after = each.groupBy("store_id").agg(F.sum("rows").alias("rows_after"), F.bit_xor("xor_hash").alias("x2"), F.sum("sum_hash").alias("s2"), F.count("*").alias("objects_after"), F.max("b").alias("largest_bytes"), F.max("f").alias("longest_file"))
@@ -114,7 +123,7 @@ def p5_consolidated(spark: SparkSession, d: str) -> DataFrame:
     return joined.select("store_id", "objects_before", "objects_after", F.col("rows").alias("rows_before"), "rows_after", equal.alias("digests_equal"), "largest_bytes", "longest_file")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_changed_fields, p2_found, p2_changes, p2_processed, p3_found, p3_state, p3_merge, p5_found, p5_targets, p5_consolidated)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_changed_fields, p2_found, p2_changes, p2_processed, p3_found, p3_state, p3_merge, p5_found, p5_planned, p5_targets, p5_consolidated)}
 
 _P1 = """
 WITH counted AS (
@@ -181,4 +190,5 @@ ORACLE = {
     "p3_state": _P3 + "SELECT store_id, hex(key) AS key_hex, hex(value) AS value_hex, seq FROM live",
     "p3_merge": _P3 + "SELECT store_id, hex(key) AS key_hex, seq FROM live",
     "p5_found": _P5 + "SELECT object_id FROM small",
+    "p5_planned": _P5 + "SELECT store_id, config_id, folder, count(*) AS objects, CAST(sum(size_bytes) AS BIGINT) AS bytes FROM small GROUP BY store_id, config_id, folder",
 }

@@ -63,21 +63,42 @@ def test_only_the_latest_listing_of_small_data_objects_counts(spark):
     assert plan_consolidation(listing.limit(0), config).count() == 0
 
 
+@pytest.mark.parametrize("way", [assign_targets, lambda *a: smallfiles._row_targets(*a)[0]])
 @pytest.mark.parametrize("boundaries", [1000, 5])
-def test_targets_are_balanced_even_where_a_third_of_rows_is_equal(spark, monkeypatch, boundaries):
+def test_targets_are_balanced_even_where_a_third_of_rows_is_equal(spark, monkeypatch, boundaries, way):
     monkeypatch.setattr(smallfiles, "MAX_BOUNDARIES", boundaries)
     rng = random.Random(4)
     rows = [(1, 7, 7, 10, 400) for _ in range(1000)] + [(g, rng.randrange(1000), rng.randrange(1000), rng.randrange(1, 20), 400) for g in (1, 2) for _ in range(1000)] + [(1, None, None, 5, 400)]
     df = spark.createDataFrame(rows, "g int, x int, y int, bytes int, target int").selectExpr("*", "'c' as curve", "0 as code", "monotonically_increasing_id() as row")
-    out = assign_targets(df, ["g"], ["x", "y"], "bytes", "target", "row").collect()
+    out = way(df, ["g"], ["x", "y"], "bytes", "target", "row").collect()
     assert len(out) == len(rows)
     sizes = defaultdict(int)
     for r in out:
         sizes[r.g, r.target_no] += r.bytes
-    assert max(sizes.values()) < 2 * 400
+    assert max(sizes.values()) < 1.5 * 400 and min(sizes.values()) > 0.5 * 400
     assert len(sizes) <= sum(r[3] for r in rows) / 400 + 3
 
 
+def test_outliers_take_no_room_on_the_curve(spark):
+    from keystrata.operators.smallfiles import _coded
+
+    rows = [(i, i) for i in range(5000)] + [(10**15, -(10**15)), (None, 3)]
+    codes = [r.c for r in _coded(spark.createDataFrame(rows, "x bigint, y bigint"), ["x", "y"]).selectExpr("curve_code as c").collect()]
+    assert len(set(codes)) > 4000
+    assert len({r.c for r in _coded(spark.createDataFrame([(7, None)] * 3, "x bigint, y bigint"), ["x", "y"]).selectExpr("curve_code as c").collect()}) == 1
+
+
+def test_a_plan_that_lost_an_object_fails(spark, monkeypatch):
+    listing = spark.createDataFrame([(i, 1, f"wal/{i:020d}.sst", datetime(2024, 1, 1) + timedelta(i), 10, 1, "p", "f") for i in range(50)], LISTING)
+    config = spark.createDataFrame([(1, 100)], CONFIG)
+    plan = plan_consolidation(listing, config)
+    assert plan.count() == 50 and "curve_code" in plan.select("object_id")._jdf.queryExecution().executedPlan().toString()
+    made = smallfiles.assign_targets
+    monkeypatch.setattr(smallfiles, "assign_targets", lambda *a: made(*a).filter("object_id <> 7"))
+    with pytest.raises(Exception, match="does not hold"):
+        plan_consolidation(listing, config).collect()
+
+
 def test_consolidated_rows_have_equal_digests(spark, tmp_path):
     rows = [(i % 3, bytes([i % 7]) if i % 5 else None, i, 20, 200) for i in range(500)] * 2
     df = spark.createDataFrame(rows, "g int, key binary, seq bigint, size int, target int")
@@ -109,5 +130,5 @@ def test_every_target_is_a_file_of_its_own(spark, tmp_path):
 def test_one_code_fills_more_than_a_thousand_targets(spark, monkeypatch, boundaries):
     monkeypatch.setattr(smallfiles, "MAX_BOUNDARIES", boundaries)
     df = spark.range(60000).selectExpr("1 as g", "cast(null as int) as x", "7 as y", "10 as bytes", "200 as target", "id as row")
-    sizes = [r.b for r in assign_targets(df, ["g"], ["x", "y"], "bytes", "target", "row").groupBy("target_no").agg(F.sum("bytes").alias("b")).collect()]
+    sizes = [r.b for r in smallfiles._row_targets(df, ["g"], ["x", "y"], "bytes", "target", "row")[0].groupBy("target_no").agg(F.sum("bytes").alias("b")).collect()]
     assert sum(sizes) == 600000 and len(sizes) > 2900 and max(sizes) < 3 * 200
