@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from keystrata.llm.bpe import count_tokens, decode_documents, encode_documents
 from keystrata.llm.packing import fill_report, pack
 from keystrata.llm.privacy import disclosure, find_candidates, find_personal, redact
-from keystrata.llm.seen import error_rate, seen_before
-from keystrata.sources.scratch import written
+from keystrata.llm.seen import SeenKeys, error_rate, seen_before
+from keystrata.sources.scratch import new_folder, written
 from keystrata.sources.tables import table
 
 
@@ -23,6 +23,20 @@ def p4_decisions(spark: SparkSession, d: str) -> DataFrame:
     return seen_before(table(spark, d, "row_entry"), table(spark, d, "incoming_key"))
 
 
+def p4_seen(spark: SparkSession, d: str) -> DataFrame:
+    """The exact answer for every incoming record."""
+    return p4_decisions(spark, d).drop("maybe_seen")
+
+
+def p4_batches(spark: SparkSession, d: str) -> DataFrame:
+    """The exact answer for every incoming record, from filters kept over two batches of earlier records."""
+    kept = SeenKeys(spark, f"{new_folder(spark, 'seen-keys')}/t")
+    history = table(spark, d, "row_entry").select(F.monotonically_increasing_id().alias("incoming_id"), "key", (F.coalesce(F.col("wal_id"), F.lit(0)) % 2).alias("half"))
+    for half in (0, 1):
+        kept.check(history.filter(F.col("half") == half).drop("half"))
+    return kept.check(table(spark, d, "incoming_key")).drop("maybe_seen")
+
+
 def p4_error_rate(spark: SparkSession, d: str) -> DataFrame:
     """Measured rate of wrong answers of the filters."""
     return error_rate(table(spark, d, "row_entry"), table(spark, d, "incoming_key"))
@@ -67,7 +81,7 @@ def p8_terms(spark: SparkSession, d: str) -> DataFrame:
     return disclosure(written(find_candidates(table(spark, d, "documents")), "personal"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_decisions, p4_error_rate, p6_ids, p6_roundtrip, p7_pack, p7_fill, p8_found, p8_redacted, p8_terms)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_decisions, p4_seen, p4_batches, p4_error_rate, p6_ids, p6_roundtrip, p7_pack, p7_fill, p8_found, p8_redacted, p8_terms)}
 
 _P4 = """
 WITH known AS (SELECT DISTINCT key FROM row_entry WHERE octet_length(key) > 0),
@@ -76,4 +90,6 @@ answer AS (SELECT i.incoming_id, coalesce(octet_length(i.key) > 0 AND (k.key IS
            FROM incoming_key i LEFT JOIN known k ON i.key = k.key LEFT JOIN first f ON i.key = f.key)
 """
 
-ORACLE = {"p4_found": _P4 + "SELECT incoming_id FROM answer WHERE seen", "p6_roundtrip": "SELECT doc_id, true AS \"equal\" FROM documents"}
+_SEEN = _P4 + "SELECT incoming_id, seen FROM answer"
+
+ORACLE = {"p4_found": _P4 + "SELECT incoming_id FROM answer WHERE seen", "p4_seen": _SEEN, "p4_batches": _SEEN, "p6_roundtrip": "SELECT doc_id, true AS \"equal\" FROM documents"}

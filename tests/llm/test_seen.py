@@ -1,7 +1,7 @@
 import random
 
 import numpy as np
-from keystrata.llm.seen import BlockedFilter, blocked_rate, error_rate, filter_shape, seen_before
+from keystrata.llm.seen import BlockedFilter, SeenKeys, blocked_rate, error_rate, filter_shape, seen_before
 
 HISTORY, INCOMING = "key binary, note string", "incoming_id bigint, key binary, first_id bigint"
 
@@ -39,6 +39,21 @@ def test_empty_tables(spark):
     assert run(spark, [b"a"], []) == {}
 
 
+def test_kept_filters_decide_batch_after_batch(spark, tmp_path):
+    rng = random.Random(9)
+    kept, known = SeenKeys(spark, f"file://{tmp_path}/t", shard_keys=100), set()
+    for n, size in enumerate((50, 20, 400, 30, 0)):  # the third batch exceeds what the filters were sized for
+        batch = [(i, rng.choice([None, b"", b"hot"]) if rng.random() < 0.4 else b"%d" % rng.randrange(900)) for i in range(size)]
+        got = {r.incoming_id: r for r in kept.check(spark.createDataFrame([(*x, None) for x in batch], INCOMING)).collect()}
+        want = brute(known, batch)
+        assert {i: r.seen for i, r in got.items()} == want and all(r.maybe_seen or not r.seen for r in got.values())
+        known |= {k for _, k in batch if k}
+        assert sorted(bytes(r.key) for r in kept.keys().collect()) == sorted(known)
+        assert kept.state()["keys"] == len(known) <= kept.state()["capacity"]
+    again = SeenKeys(spark, f"file://{tmp_path}/t", shard_keys=100)
+    assert again.check(spark.createDataFrame([(1, b"hot", None), (2, b"no", None)], INCOMING)).orderBy("incoming_id").toPandas().seen.tolist() == [True, False]
+
+
 def test_measured_rate_is_near_the_target(spark):
     h = spark.range(20000).selectExpr("cast(cast(id as string) as binary) as key")
     n = spark.range(2000).selectExpr("id as incoming_id", "cast(concat('n', id) as binary) as key")
