@@ -21,6 +21,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +32,12 @@ ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+
 _ANY, _ASCII, _OTHER = regex.compile(PATTERN), re.compile(ASCII_PATTERN, re.ASCII), re.compile(r"[^\x00-\x7f]")
 #: Pieces remembered per worker and the longest piece remembered; both bound memory only.
 MEMO_PIECES, MEMO_LENGTH = 300_000, 48
-#: A vocabulary is sent to the executors only below this size.
+#: Pairs of tokens whose compatibility a worker remembers; bounds memory only.
+MEMO_PAIRS = 2_000_000
+#: A vocabulary up to this size is broadcast; a larger one is sent to the executors as a file.
 MAX_VOCABULARY_BYTES = 16_000_000
+#: Bytes of results that a worker gathers before it hands them on.
+OUT_BYTES = 8 << 20
 
 
 def default_vocabulary() -> str:
@@ -114,6 +119,8 @@ class Encoder:
         at = a << 20 | b
         known = self._pairs.get(at)
         if known is None:
+            if len(self._pairs) >= MEMO_PAIRS:
+                self._pairs.clear()
             known = self._pairs[at] = self._compatible(a, b)
         return known
 
@@ -208,19 +215,39 @@ class SharedEncoder:
     """A vocabulary on the driver, an encoder made once per Python worker."""
 
     def __init__(self, spark, path: str | None = None):
-        tokens = read_ranks(path or default_vocabulary())
-        if sum(map(len, tokens)) > MAX_VOCABULARY_BYTES:
-            raise ValueError("the vocabulary is too large to send to every executor")
+        path = path or default_vocabulary()
+        tokens = read_ranks(path)
         self.key = zlib.crc32(b"\n".join(tokens))
-        self.tokens = spark.sparkContext.broadcast(tokens)
+        self.tokens = self.file = None
+        if sum(map(len, tokens)) <= MAX_VOCABULARY_BYTES:
+            self.tokens = spark.sparkContext.broadcast(tokens)
+        else:
+            spark.sparkContext.addFile(path)
+            self.file = path.rsplit("/", 1)[-1]
 
     def get(self) -> Encoder:
         if self.key not in _made:
             _made.clear()
-            _made[self.key] = Encoder(self.tokens.value)
+            _made[self.key] = Encoder(self.tokens.value if self.tokens is not None else read_ranks(SparkFiles.get(self.file)))
         return _made[self.key]
 
 
+def _in_parts(batch: pa.RecordBatch, size) -> Iterator[tuple[pa.Array, list]]:
+    """Keys and results of the texts of a batch, handed on whenever the results reach ``OUT_BYTES``.
+
+    ``size(text)`` gives a result and its bytes. One text at a time is a Python string.
+    """
+    begin, out, held = 0, [], 0
+    for i, text in enumerate(batch.column(1)):
+        made, n = size(text.as_py())
+        out.append(made)
+        held += n
+        if held >= OUT_BYTES:
+            yield batch.column(0).slice(begin, i + 1 - begin), out
+            begin, out, held = i + 1, [], 0
+    yield batch.column(0).slice(begin), out
+
+
 def _list_array(parts: list[bytes]) -> pa.ListArray:
     offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), np.int32)))
@@ -232,10 +259,10 @@ def encode_documents(documents: DataFrame, key: str = "doc_id", text: str = "tex
     kind = documents.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = shared.get()
+        packed = shared.get().packed
         for batch in batches:
-            ids = _list_array([encoder.packed(t) for t in batch.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["key", "ids"])
+            for keys, ids in _in_parts(batch, lambda t: (x := packed(t), len(x))):
+                yield pa.RecordBatch.from_arrays([keys, _list_array(ids)], ["key", "ids"])
 
     out = documents.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, ids array<int>")
     return out.withColumnRenamed("key", key)
@@ -247,10 +274,10 @@ def count_tokens(documents: DataFrame, key: str = "doc_id", text: str = "text",
     kind = documents.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = shared.get()
+        packed = shared.get().packed
         for batch in batches:
-            counts = pa.array([len(encoder.packed(t)) // 4 for t in batch.column(1).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), counts], ["key", "n_tokens"])
+            for keys, counts in _in_parts(batch, lambda t: (len(packed(t)) // 4, 8)):
+                yield pa.RecordBatch.from_arrays([keys, pa.array(counts, pa.int64())], ["key", "n_tokens"])
 
     out = documents.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, n_tokens bigint")
     return out.withColumnRenamed("key", key)

@@ -54,15 +54,19 @@ def p6_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return documents.join(back, "doc_id").select("doc_id", F.coalesce("text", F.lit("")).eqNullSafe(F.col("decoded")).alias("equal"))
 
 
-def p7_pack(spark: SparkSession, d: str) -> DataFrame:
-    """Every document in containers of every capacity."""
+def _packed(spark: SparkSession, d: str) -> DataFrame:
     sizes = written(count_tokens(table(spark, d, "documents")), "token-counts")
     return pack(sizes, table(spark, d, "container_spec"))
 
 
+def p7_pack(spark: SparkSession, d: str) -> DataFrame:
+    """Every document in containers of every capacity."""
+    return _packed(spark, d).drop("refused")
+
+
 def p7_fill(spark: SparkSession, d: str) -> DataFrame:
-    """How full the containers of every capacity are."""
-    return fill_report(p7_pack(spark, d))
+    """How full the containers of every capacity are, and how often each constraint refused one."""
+    return fill_report(_packed(spark, d))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:

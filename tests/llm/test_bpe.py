@@ -68,3 +68,29 @@ def test_documents_with_nulls_empty_long_and_special_texts(spark, vocabulary):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert encode_documents(df).collect() == []
+
+
+def test_memory_of_a_worker_is_bounded(spark, monkeypatch):
+    from keystrata.llm import bpe
+
+    tokens = bpe.read_ranks(bpe.default_vocabulary())
+    encoder = bpe.Encoder(tokens)
+    text = "".join(chr(97 + i * i % 26) + " x" * (i % 3) for i in range(4000))
+    want = encoder.encode(text)
+    monkeypatch.setattr(bpe, "MEMO_PAIRS", 50)
+    other = bpe.Encoder(tokens)
+    assert other.encode(text) == want and len(other._pairs) <= 50
+    batch = bpe.pa.RecordBatch.from_arrays([bpe.pa.array([1, 2, 3, 4]), bpe.pa.array(["a" * 40, None, "b", "c" * 40])], ["k", "t"])
+    monkeypatch.setattr(bpe, "OUT_BYTES", 30)
+    parts = [(k.to_pylist(), r) for k, r in bpe._in_parts(batch, lambda t: (t, len(t or "")))]
+    assert parts == [([1], ["a" * 40]), ([2, 3, 4], [None, "b", "c" * 40]), ([], [])]
+
+
+def test_a_large_vocabulary_is_sent_as_a_file(spark, monkeypatch):
+    from keystrata.llm import bpe
+
+    df = spark.createDataFrame([(1, "some text"), (2, None)], "doc_id bigint, text string")
+    want = sorted(map(tuple, bpe.encode_documents(df).collect()), key=str)
+    monkeypatch.setattr(bpe, "MAX_VOCABULARY_BYTES", 10)
+    bpe._made.clear()
+    assert sorted(map(tuple, bpe.encode_documents(df).collect()), key=str) == want
