@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.functions.codecs import big_endian, checksum_holds, compressed, decompressed, number_at, signed_at, with_checksum
+from keystrata.functions.codecs import CODECS, big_endian, checksum_holds, compressed, decompressed, number_at, signed_at, with_checksum
 from keystrata.functions.keys import common_prefix
 from keystrata.operators.entries import encoded_value
 from keystrata.operators.merge import byte_lengths, group_starts
@@ -245,3 +245,99 @@ def table_bytes(rows: DataFrame, group: list[str]) -> DataFrame:
     entry = F.concat(big_endian(F.octet_length("key"), 4), big_endian(F.octet_length(stored), 4), F.col("key"), stored)
     lists = rows.select(*group, F.struct("key", entry.alias("e")).alias("r")).groupBy(*group).agg(F.array_sort(F.collect_list("r")).alias("r"))
     return lists.select(*group, F.aggregate(F.transform("r", lambda r: r["e"]), F.lit(b""), lambda a, e: F.concat(a, e)).alias("table"))
+
+
+# a whole table as bytes: blocks, filter, index, info, and where the info begins
+
+INFO_FIELDS = ("index_offset", "index_len", "filter_offset", "filter_len", "codec")
+
+
+def encode_tables(blocks: DataFrame, group: list[str], filters: DataFrame | None = None, codec: str = "none") -> DataFrame:
+    """Tables of bounded size as one byte string each: ``group, table``.
+
+    ``blocks`` comes from ``encode_blocks``; ``filters`` has ``group`` and ``filter`` (see
+    ``encoded_filter``), a table without one has none. The index holds, for every block, where it begins
+    and its first key, so a reader of a range of keys needs the last few bytes, the info, the index and
+    the blocks in question. Index and info carry checksums. Meant for tables cut by bytes.
+    """
+    item = F.struct("block_no", "first_key", "block")
+    lists = blocks.groupBy(*group).agg(F.array_sort(F.collect_list(item)).alias("b"))
+    if filters is not None:
+        lists = lists.join(filters.select(*group, "filter"), group, "left")
+    else:
+        lists = lists.withColumn("filter", F.lit(None).cast("binary"))
+    join = lambda parts: F.aggregate(parts, F.lit(b""), lambda a, x: F.concat(a, x))
+    body = join(F.transform("b", lambda x: x["block"]))
+    starts = F.transform("b", lambda x, i: F.aggregate(F.slice("b", 1, i), F.lit(0).cast("bigint"), lambda n, y: n + F.octet_length(y["block"])))
+    entries = join(F.transform(F.arrays_zip(starts.alias("s"), F.col("b").alias("x")), lambda e: F.concat(big_endian(e["s"], 8), big_endian(F.octet_length(e["x"]["first_key"]), 2))))
+    index = with_checksum(F.concat(big_endian(F.size("b"), 4), entries, join(F.transform("b", lambda x: x["first_key"]))))
+    lists = lists.select(*group, F.element_at("b", 1)["first_key"].alias("first_key"), body.alias("body"), F.coalesce("filter", F.lit(b"")).alias("filter"), index.alias("index"))
+    size = lambda c: F.octet_length(c).cast("bigint")
+    numbers = [size("body") + size("filter"), size("index"), F.when(size("filter") > 0, size("body")).otherwise(0), size("filter")]
+    info = with_checksum(F.concat(*[big_endian(n, 8) for n in numbers], big_endian(F.lit(CODECS.index(codec)), 1), F.col("first_key")))
+    begin = size("body") + size("filter") + size("index")
+    return lists.select(*group, F.concat("body", "filter", "index", info, big_endian(begin, 4)).alias("table"))
+
+
+def table_info(table: Column) -> Column:
+    """Struct ``first_key, index_offset, index_len, filter_offset, filter_len, codec`` of a table; null if it is corrupt."""
+    size = F.octet_length(table)
+    begin = F.when(size >= 4, number_at(table, size - 4, 4))
+    info = F.when(begin + 4 <= size, F.substring(table, (begin + 1).cast("int"), (size - 4 - begin).cast("int")))
+    number = lambda i: signed_at(info, F.lit(8 * i)).alias(INFO_FIELDS[i])
+    name = F.element_at(F.array(*[F.lit(c) for c in CODECS]), (number_at(info, F.lit(32), 1) + 1).cast("int"))
+    key = F.substring(info, F.lit(34), F.octet_length(info) - 37)
+    return F.when(checksum_holds(info), F.struct(key.alias("first_key"), *[number(i) for i in range(4)], name.alias("codec")))
+
+
+def table_index(table: Column, info: Column) -> Column:
+    """Array of ``offset, first_key``, one for every block in order; null if it is corrupt."""
+
+    @F.arrow_udf("array<struct<offset:bigint,first_key:binary>>")
+    def parse(indexes: pa.Array) -> pa.Array:
+        out = []
+        for data in indexes.to_pylist():
+            if data is None:
+                out.append(None)
+                continue
+            count = int.from_bytes(data[:4], "big")
+            at, entries = 4 + count * 10, []
+            for i in range(4, at, 10):
+                size = int.from_bytes(data[i + 8 : i + 10], "big")
+                entries.append({"offset": int.from_bytes(data[i : i + 8], "big"), "first_key": data[at : at + size]})
+                at += size
+            out.append(entries)
+        return pa.array(out, pa.list_(pa.struct([("offset", pa.int64()), ("first_key", pa.binary())])))
+
+    index = F.substring(table, (info["index_offset"] + 1).cast("int"), info["index_len"].cast("int"))
+    return parse(F.when(checksum_holds(index), index))
+
+
+def table_filter(table: Column, info: Column) -> Column:
+    """The stored filter of a table, null if it has none."""
+    return F.when(info["filter_len"] > 0, F.substring(table, (info["filter_offset"] + 1).cast("int"), info["filter_len"].cast("int")))
+
+
+def read_blocks(tables: DataFrame, group: list[str], low: bytes | None = None, high: bytes | None = None) -> DataFrame:
+    """``group, block_no, block``: the blocks of tables (``group, table``) that may hold keys in ``[low, high)``.
+
+    A block is left out by the first keys in the index: its own against ``high``, the next one's against
+    ``low``. Tables whose info or index is corrupt give none.
+    """
+    info = table_info(F.col("table"))
+    opened = tables.select(*group, "table", info.alias("info")).select(*group, "table", "info", table_index(F.col("table"), F.col("info")).alias("index")).filter("index is not null")
+    end = F.when(F.col("info.filter_len") > 0, F.col("info.filter_offset")).otherwise(F.col("info.index_offset"))
+    opened = opened.select(*group, "table", "index", end.alias("end"))
+    types = {f.name: f.dataType.simpleString() for f in tables.schema}
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                table, index, end = (batch.column(c)[i].as_py() for c in ("table", "index", "end"))
+                firsts = [e["first_key"] for e in index]
+                ends = [e["offset"] for e in index[1:]] + [end]
+                keep = [n for n, k in enumerate(firsts) if (high is None or k < high) and (low is None or n + 1 == len(firsts) or firsts[n + 1] > low)]
+                columns = [pa.repeat(batch.column(g)[i], len(keep)) for g in group]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(keep, pa.int64()), pa.array([table[index[n]["offset"] : ends[n]] for n in keep], pa.binary())], [*group, "block_no", "block"])
+
+    return opened.mapInArrow(cut, ", ".join(f"`{g}` {types[g]}" for g in group) + ", block_no bigint, block binary")

@@ -168,7 +168,11 @@ def wal_replay(spark: SparkSession, d: str) -> DataFrame:
     return memory.select(text("key"), long("kind"), text("value"), "seq", "wal_id")
 
 
-@query()
+@query(LOG_SQL.replace("WITH t AS", "WITH RECURSIVE t AS") + """, kw AS (SELECT wal, length(k) + 1 + coalesce(strlen(v), 0) AS b, lead(wal) OVER (PARTITION BY k ORDER BY wal) AS nxt FROM (SELECT *, row_number() OVER (PARTITION BY wal, k ORDER BY seq DESC) AS rn FROM log) WHERE rn = 1),
+w AS (SELECT CAST(1 AS BIGINT) AS wal, CAST(1 AS BIGINT) AS since, (SELECT CAST(sum(b) AS BIGINT) FROM kw WHERE wal = 1) AS held
+  UNION ALL SELECT n.wal, n.since, (SELECT CAST(sum(b) AS BIGINT) FROM kw WHERE kw.wal >= n.since AND kw.wal <= n.wal AND (nxt IS NULL OR nxt > n.wal)) FROM
+  (SELECT wal + 1 AS wal, CASE WHEN held >= 4096 THEN wal + 1 ELSE since END AS since FROM w WHERE wal < (SELECT max(wal) FROM kw)) n)
+SELECT wal AS wal_id, held AS memory_bytes, held >= 4096 AS frozen FROM w""")
 def memtable_freeze_by_size(spark: SparkSession, d: str) -> DataFrame:
     """Which WALs freeze memory at 4 KiB of net size."""
     return layers.freeze_by_size(change_log(spark, d), 4096)
@@ -361,7 +365,17 @@ def bloom_false_positive(spark: SparkSession, d: str) -> DataFrame:
     return answers.groupBy("grp").agg(count(F.col("present") & ~maybe).alias("false_negatives"), count(~F.col("present")).alias("absent"), count(~F.col("present") & maybe).alias("false_positives")).join(sizes, "grp").select("grp", "bits", "false_negatives", "absent", "false_positives")
 
 
-@query()
+_BYTE = "((instr('0123456789ABCDEF', substr({h}, 2 * ({i})::BIGINT + 1, 1)) - 1) * 16 + instr('0123456789ABCDEF', substr({h}, 2 * ({i})::BIGINT + 2, 1)) - 1)"
+_FNV_BLOB = "list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(range(length(hx) // 2), lambda i: " + _BYTE.format(h="hx", i="i") + "::UHUGEINT)), lambda a, x: xor((a * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT, x))"
+
+
+@query(f"""WITH f AS (SELECT sst_id, store_id, first_wal_id, last_wal_id, num_probes, hex(data) AS dx, CAST(octet_length(data) * 8 AS HUGEINT) AS bits FROM
+  (SELECT *, row_number() OVER (PARTITION BY sst_id) AS rn FROM sst_filter WHERE octet_length(data) > 0 AND num_probes > 0) WHERE rn = 1),
+a AS (SELECT DISTINCT f.sst_id, hex(r.key) AS hx FROM f JOIN row_entry r ON r.store_id = f.store_id AND r.wal_id BETWEEN f.first_wal_id AND f.last_wal_id WHERE octet_length(r.key) > 0),
+h AS (SELECT hx, ({_FNV_BLOB})::HUGEINT AS h FROM (SELECT DISTINCT hx FROM a)),
+p AS (SELECT sst_id, dx, unnest(list_transform(range(num_probes), lambda i: ((h % 4294967296) % bits + i::HUGEINT * ((h // 4294967296) % bits) + ((i - 1) * i * (i + 1) // 6)::HUGEINT) % bits)) AS bit, hx FROM a JOIN f USING (sst_id) JOIN h USING (hx)),
+m AS (SELECT sst_id, hx, bool_and(({_BYTE.format(h='dx', i='bit // 8')} // (1 << CAST(bit % 8 AS INTEGER))) % 2 = 1) AS maybe FROM p GROUP BY ALL)
+SELECT sst_id, count(*) AS keys, count(*) FILTER (NOT maybe) AS missed FROM m GROUP BY sst_id""")
 def stored_filter_probe(spark: SparkSession, d: str) -> DataFrame:
     """Every stored filter asked for each key of its WALs: there must be no wrong "no".
 
@@ -428,21 +442,61 @@ def block_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("layer", "unit", text("key"), long("kind"), text("value"), "seq", problems.alias("problems"))
 
 
-@query("SELECT doc_id, c.codec, text IS NOT NULL AS present, true AS \"equal\" FROM documents, (SELECT unnest(['none', 'snappy', 'zlib', 'lz4', 'zstd']) AS codec) c")
+@query("""SELECT doc_id, c.codec, CASE c.codec WHEN 'none' THEN substr(hex(encode(text)), 1, 8) ELSE lpad(to_hex(octet_length(encode(text))), 8, '0') END AS head, true AS "equal"
+FROM documents, (SELECT unnest(['none', 'snappy', 'zlib', 'lz4', 'zstd']) AS codec) c""")
 def codec_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """Every text through every codec and back."""
+    """Every text through every codec and back, and what the compressed form begins with: the plain length."""
     data = F.col("text").cast("binary")
     each = table(spark, d, "documents").select("doc_id", data.alias("data"), F.explode(F.array(*map(F.lit, codecs.CODECS))).alias("codec"))
-    back = each.withColumn("back", codecs.decompressed(codecs.compressed(F.col("data"), F.col("codec")), F.col("codec")))
-    return back.select("doc_id", "codec", F.col("data").isNotNull().alias("present"), F.col("data").eqNullSafe(F.col("back")).alias("equal"))
+    packed = each.withColumn("packed", codecs.compressed(F.col("data"), F.col("codec")))
+    back = packed.withColumn("back", codecs.decompressed(F.col("packed"), F.col("codec")))
+    return back.select("doc_id", "codec", F.hex(F.substring("packed", 1, 4)).alias("head"), F.col("data").eqNullSafe(F.col("back")).alias("equal"))
 
 
-@query("SELECT sst_id, num_probes, octet_length(data) AS bytes, true AS \"equal\" FROM sst_filter WHERE data IS NOT NULL")
+@query("SELECT sst_id, concat(lpad(to_hex(num_probes), 4, '0'), hex(data)) AS stored, true AS \"equal\" FROM sst_filter WHERE data IS NOT NULL")
 def filter_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """Stored form of every filter, read back under its checksum."""
+    """Stored form of every filter up to its checksum; read back plain and compressed."""
     f = table(spark, d, "sst_filter").filter("data is not null")
-    back = f.withColumn("back", rowformat.decoded_filter(rowformat.encoded_filter(F.col("num_probes"), F.col("data"))))
-    return back.select("sst_id", "num_probes", F.octet_length("data").cast("bigint").alias("bytes"), (F.col("back.num_probes").eqNullSafe(F.col("num_probes")) & F.col("back.data").eqNullSafe(F.col("data"))).alias("equal"))
+    stored = f.withColumn("stored", rowformat.encoded_filter(F.col("num_probes"), F.col("data")))
+    packed = stored.withColumn("back", rowformat.decoded_filter(rowformat.encoded_filter(F.col("num_probes"), F.col("data"), "zstd"), "zstd"))
+    plain = packed.withColumn("plain", rowformat.decoded_filter(F.col("stored")))
+    equal = lambda c: F.col(f"{c}.num_probes").eqNullSafe(F.col("num_probes")) & F.col(f"{c}.data").eqNullSafe(F.col("data"))
+    return plain.select("sst_id", F.hex(F.substring(F.col("stored"), F.lit(1), F.octet_length("stored") - 4)).alias("stored"), (equal("back") & equal("plain")).alias("equal"))
+
+
+@query(LOG_SQL + "SELECT layer, unit, k AS key, CAST(kind AS BIGINT) AS kind, v AS value, seq FROM stored WHERE k >= 'u00000000000000000004' AND k < 'u00000000000000000012'")
+def table_range(spark: SparkSession, d: str) -> DataFrame:
+    """Stored tables as bytes; the blocks their index gives for a range of keys, decoded."""
+    tables = _tables_as_bytes(spark, d)
+    blocks = rowformat.read_blocks(tables, ["layer", "unit"], b"u00000000000000000004", b"u00000000000000000012")
+    rows, _ = rowformat.decode_blocks(blocks, ["layer", "unit"], "zstd")
+    return rows.filter((F.col("key") >= F.lit(b"u00000000000000000004")) & (F.col("key") < F.lit(b"u00000000000000000012"))).select("layer", "unit", text("key"), long("kind"), text("value"), "seq")
+
+
+@query(LOG_SQL + "SELECT layer, unit, min(k) AS first_key, 'zstd' AS codec, CAST(ceil(count(*) * 10 / 8) * 8 AS BIGINT) AS filter_bits, CAST(6 AS BIGINT) AS num_probes, true AS index_in_order FROM stored GROUP BY layer, unit")
+def table_infos(spark: SparkSession, d: str) -> DataFrame:
+    """Info, index and filter read back from stored tables as bytes."""
+    opened = _tables_as_bytes(spark, d).withColumn("info", rowformat.table_info(F.col("table")))
+    opened = opened.withColumn("f", rowformat.decoded_filter(rowformat.table_filter(F.col("table"), F.col("info")), "zlib")).withColumn("index", rowformat.table_index(F.col("table"), F.col("info")))
+    keys = F.transform("index", lambda x: x["first_key"])
+    return opened.select("layer", "unit", F.col("info.first_key").cast("string").alias("first_key"), "info.codec", (F.octet_length("f.data") * 8).cast("bigint").alias("filter_bits"), F.col("f.num_probes").alias("num_probes"), keys.eqNullSafe(F.array_sort(keys)).alias("index_in_order"))
+
+
+def _tables_as_bytes(spark: SparkSession, d: str) -> DataFrame:
+    unit = ["layer", "unit"]
+    stored = layers.flush(placed_log(spark, d).filter(F.col("layer") <= layers.LEVEL0), unit)
+    blocks = rowformat.encode_blocks(rowformat.place_in_blocks(stored, unit, 512), unit, "zstd")
+    packed = prune.pack_filters(prune.filter_words(stored, unit), unit)
+    filters = packed.select(*unit, rowformat.encoded_filter(F.lit(6), F.col("data"), "zlib").alias("filter"))
+    return rowformat.encode_tables(blocks, unit, filters, "zstd")
+
+
+@query(LOG_SQL + "SELECT layer, unit, min(k) <= 'u00000000000000000007' AND max(k) >= 'u00000000000000000007' AS covers FROM stored GROUP BY layer, unit")
+def range_covers_key(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the range of each stored table covers a key."""
+    stored = layers.flush(placed_log(spark, d).filter(F.col("layer") <= layers.LEVEL0), ["layer", "unit"])
+    meta = layers.table_meta(stored, ["layer", "unit"])
+    return meta.select("layer", "unit", prune.covers(F.col("first_key"), F.lit(b"u00000000000000000007"), F.col("last_key")).alias("covers"))
 
 
 @query("SELECT DISTINCT sst_id, CAST(list_sum(list_transform(range(1, 11), lambda i: (position(substr(sst_id, i, 1) IN '0123456789ABCDEFGHJKMNPQRSTVWXYZ') - 1) * CAST(32 AS BIGINT) ** (10 - i))) AS BIGINT) AS millis FROM sst_filter")

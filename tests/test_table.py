@@ -463,6 +463,21 @@ def test_table_as_bytes(spark):
     assert bytes(r.table) == b"\0\0\0\1\0\0\0\2a\0v" + b"\0\0\0\1\0\0\0\1b\1"
 
 
+def test_tables_as_one_byte_string(spark):
+    rows = log(spark, [(b"key%03d" % i, 0, b"v" * (i % 9), i, 1) for i in range(100)]).withColumn("t", F.lit(1)).drop("wal_id")
+    blocks = rowformat.encode_blocks(rowformat.place_in_blocks(rows, ["t"], 120), ["t"], "zlib")
+    tables = rowformat.encode_tables(blocks, ["t"], codec="zlib")
+    read = lambda **x: sorted(bytes(r.key) for r in rowformat.decode_blocks(rowformat.read_blocks(tables, ["t"], **x), ["t"], "zlib")[0].collect())
+    every = [b"key%03d" % i for i in range(100)]
+    assert read() == every
+    some = read(low=b"key040", high=b"key050")
+    assert set(every[40:50]) <= set(some) and len(some) < 30
+    info = tables.select(rowformat.table_info(F.col("table")).alias("i")).first().i
+    assert bytes(info.first_key) == b"key000" and info.filter_len == 0 and info.codec == "zlib"
+    torn = tables.withColumn("table", F.concat(F.lit(b"x"), F.substring("table", 3, 1 << 20)))
+    assert rowformat.read_blocks(torn, ["t"]).count() == 0
+
+
 def test_a_cluster_without_a_shared_folder_is_refused(spark, monkeypatch):
     from keystrata.sources import scratch
 
