@@ -464,15 +464,6 @@ def filter_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return plain.select("sst_id", F.hex(F.substring(F.col("stored"), F.lit(1), F.octet_length("stored") - 4)).alias("stored"), (equal("back") & equal("plain")).alias("equal"))
 
 
-@query(LOG_SQL + "SELECT layer, unit, k AS key, CAST(kind AS BIGINT) AS kind, v AS value, seq FROM stored WHERE k >= 'u00000000000000000004' AND k < 'u00000000000000000012'")
-def table_range(spark: SparkSession, d: str) -> DataFrame:
-    """Stored tables as bytes; the blocks their index gives for a range of keys, decoded."""
-    tables = _tables_as_bytes(spark, d)
-    blocks = rowformat.read_blocks(tables, ["layer", "unit"], b"u00000000000000000004", b"u00000000000000000012")
-    rows, _ = rowformat.decode_blocks(blocks, ["layer", "unit"], "zstd")
-    return rows.filter((F.col("key") >= F.lit(b"u00000000000000000004")) & (F.col("key") < F.lit(b"u00000000000000000012"))).select("layer", "unit", text("key"), long("kind"), text("value"), "seq")
-
-
 @query(LOG_SQL + "SELECT layer, unit, min(k) AS first_key, 'zstd' AS codec, CAST(ceil(count(*) * 10 / 8) * 8 AS BIGINT) AS filter_bits, CAST(6 AS BIGINT) AS num_probes, true AS index_in_order FROM stored GROUP BY layer, unit")
 def table_infos(spark: SparkSession, d: str) -> DataFrame:
     """Info, index and filter read back from stored tables as bytes."""
