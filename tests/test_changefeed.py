@@ -51,3 +51,14 @@ def test_a_put_older_than_a_delete_of_the_base_stays_deleted(spark):
     late = [*rows[half:], (1, b"late", 0, b"v", 800, 1, "p")]
     again = apply_changes(spark.createDataFrame(late, FEED), ["store_id"], base, tombstones=True)
     assert run(spark, [], again) == run(spark, late, base) == brute(rows)
+
+
+def test_any_split_and_order_of_the_feed_gives_the_same(spark):
+    for seed in range(4):
+        rng, rows = random.Random(seed), feed(250, seed)
+        parts, base = [[] for _ in range(rng.randrange(2, 5))], None
+        for r in rows:
+            parts[rng.randrange(len(parts))].append(r)
+        for part in parts[:-1]:
+            base = apply_changes(spark.createDataFrame(part, FEED), ["store_id"], base, tombstones=True)
+        assert run(spark, parts[-1], base) == brute(rows)
