@@ -177,7 +177,9 @@ def _expected(n: int, shards: int) -> int:
 
 def _streamed(rows: DataFrame, shards: int, expected: int, wanted: int, target: float, keep: bool = False) -> DataFrame:
     placed = rows.withColumn("shard", F.coalesce(F.when(F.col("role") == KEPT, F.col("first_id")), F.pmod("hash", F.lit(shards))).cast("bigint"))
-    return placed.repartition("shard").sortWithinPartitions("shard", "role", "first_id").mapInArrow(_answers(expected, wanted, target, keep), _OUT)
+    # one task for every shard: by a hash of their numbers several would meet in one
+    placed = placed.withColumn("__task", F.col("shard").cast("int")).repartitionById(shards, "__task").drop("__task")
+    return placed.sortWithinPartitions("shard", "role", "first_id").mapInArrow(_answers(expected, wanted, target, keep), _OUT)
 
 
 def first_occurrences(incoming: DataFrame) -> DataFrame:
